@@ -18,7 +18,7 @@ def _emb(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     "r1_flat_topk",
     """
-WITH n AS (SELECT vec_id, list_transform(embedding::DOUBLE[], x -> x / sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]))) v FROM embeddings),
+WITH n AS (SELECT vec_id, list_transform(embedding::DOUBLE[], lambda x: x / sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]))) v FROM embeddings),
 s AS (SELECT q.vec_id query_id, d.vec_id node_id, round(list_dot_product(q.v, d.v), 6) score FROM n q, n d WHERE q.vec_id < 20 AND q.vec_id <> d.vec_id),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, node_id) "rank" FROM s)
 SELECT query_id, "rank"::INT "rank", node_id, score FROM r WHERE "rank" <= 5""",
