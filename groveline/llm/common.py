@@ -78,6 +78,13 @@ def runs_of_docs(off: np.ndarray, most: int = BLOCK_BYTES):
         a = b
 
 
+def text_slices(col, most: int = BLOCK_BYTES):
+    """Lists of texts (null is empty) whose bytes together stay near ``most``."""
+    off = utf8(col)[1]
+    for a, b in runs_of_docs(off, most):
+        yield ["" if t is None else t for t in col.slice(a, b - a).to_pylist()]
+
+
 def word_spans(data: np.ndarray, off: np.ndarray, breaks: np.ndarray | None = None):
     """Starts, ends and row of every word ``[^\\x20\\x09-\\x0D]+``; rows break words."""
     n = len(data)
@@ -140,10 +147,10 @@ def shingle_sets(data: np.ndarray, off: np.ndarray, width: int) -> tuple[np.ndar
         first = np.searchsorted(rows, short)
         extra = np.empty(len(short), U64)
         for k, (row, at) in enumerate(zip(short, first, strict=True)):
-            s = U64(n_words[row] * 0x51ED27)
+            s = np.full(1, n_words[row] * 0x51ED27, U64)
             for j in range(n_words[row]):
-                s = s + mix(h[at + j : at + j + 1] + U64(0x1000193 * (j + 1)))[0]
-            extra[k] = s
+                s += mix(h[at + j : at + j + 1] + U64(0x1000193 * (j + 1)))
+            extra[k] = s[0]
         values, owner = np.concatenate([values, mix(extra)]), np.concatenate([owner, short])
     return distinct_sorted(owner, values)
 
@@ -235,6 +242,40 @@ def with_score(docs: DataFrame, name: str, score, model) -> DataFrame:
     return docs.mapInArrow(run, StructType([*docs.schema.fields]).add(name, DoubleType()))
 
 
+#: Bits of the filter of :func:`only_ids`: 1 MB, whatever the input.
+FILTER_BITS = 1 << 23
+
+
+def only_ids(df: DataFrame, key, ids: DataFrame, ids_key) -> DataFrame:
+    """Rows of ``df`` whose ``key`` may occur in ``ids``: a fixed-size bitmap of hashes, tested before any shuffle.
+
+    False hits grow as the bitmap fills, so a join must follow; no true row is lost at any size.
+    """
+    import pandas as pd
+    from pyspark.sql.types import IntegerType, StructType
+
+    spark = df.sparkSession
+    ship(spark)
+    slot = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER_BITS)).cast("int")
+    h = ids.select(slot(ids_key).alias("h"))
+    word = F.shiftright("h", 5).alias("w")
+    bit = F.expr("shiftleft(1L, h & 31)")
+    got: pd.DataFrame = h.groupBy(word).agg(F.bit_or(bit).alias("b")).toPandas()  # at most FILTER_BITS / 32 rows
+    words = np.zeros(FILTER_BITS // 32, np.uint32)
+    words[got["w"].to_numpy(int)] = got["b"].to_numpy(np.int64).astype(np.uint32)
+    shared = spark.sparkContext.broadcast(words)
+    names, n = df.columns, len(df.columns)
+
+    def run(it):
+        for b in it:
+            at = b.column(n).to_numpy()
+            hit = (shared.value[at >> 5] >> (at & 31).astype(np.uint32)) & 1
+            if hit.any():
+                yield pa.RecordBatch.from_arrays(b.columns[:n], names=names).filter(pa.array(hit.astype(bool)))
+
+    return df.withColumn("_slot", slot(key)).mapInArrow(run, StructType([*df.schema.fields]))
+
+
 def worker_cache(name: str) -> dict:
     """A dict that lives as long as the Python worker."""
     import sys

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from groveline.llm import common as C
-from groveline.llm import crf_quality, fingerprint, kd_search, mixing, packing, token_counts, token_store, toxicity
+from groveline.llm import crf_quality, fingerprint, kd_search, mixing, near_dup, packing, token_counts, token_store, toxicity
 
 SOURCE_WEIGHTS = {"src0": 1.0, "src1": 2.0, "src2": 0.5, "src3": 1.5}
 QUALITY_FROM = 0.7
@@ -20,6 +20,10 @@ def _tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_near_dup(spark: SparkSession, sf: str) -> DataFrame:
+    return near_dup.near_duplicates(C.documents(spark, sf), width=4, share_pct=80)
+
+
 def op2_mixing(spark: SparkSession, sf: str) -> DataFrame:
     out = mixing.mix(C.documents(spark, sf), SOURCE_WEIGHTS)
     return out.select("doc_id", "copy", F.round("rate", 6).alias("rate"), "shuffle_key", "text", "lang", "source", "n_chars")
@@ -86,9 +90,9 @@ SELECT query_id, "rank", vec_id, score FROM r WHERE "rank" <= 20"""
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    fs = (op2_mixing, op3_fingerprints, op4_toxicity, op6_token_store, op7_token_counts, op8_quality, op9_packing, op10_topk)
+    fs = (op1_near_dup, op2_mixing, op3_fingerprints, op4_toxicity, op6_token_store, op7_token_counts, op8_quality, op9_packing, op10_topk)
     return {f.__name__: f for f in fs}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_mixing": OP2, "op9_packing": packing.oracle(2048, 8, 16384), "op10_topk": OP10}
+    return {"op1_near_dup": near_dup.ORACLE.format(width=4, share=80), "op2_mixing": OP2, "op9_packing": packing.oracle(2048, 8, 16384), "op10_topk": OP10}
