@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from groveline.llm import common as C
-from groveline.llm import crf_quality, fingerprint, kd_search, mixing, near_dup, packing, token_counts, token_store, toxicity
+from groveline.llm import crf_quality, fingerprint, kd_search, line_dedup, mixing, near_dup, packing, token_counts, token_store, toxicity
 
 SOURCE_WEIGHTS = {"src0": 1.0, "src1": 2.0, "src2": 0.5, "src3": 1.5}
 QUALITY_FROM = 0.7
@@ -52,6 +52,10 @@ def op4_toxicity(spark: SparkSession, sf: str) -> DataFrame:
     return _scored(toxicity.toxicity(docs, model), "toxicity", C.held_out(5, 0), 0.5)
 
 
+def op5_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    return line_dedup.removed_lines(C.documents(spark, sf))
+
+
 def op6_token_store(spark: SparkSession, sf: str) -> DataFrame:
     out = C.scratch(spark, "tokens")
     return token_store.read_tokens(token_store.write_tokens(C.documents(spark, sf), _tokenizer("byte_bpe_50k.json"), 2, out))
@@ -90,7 +94,7 @@ SELECT query_id, "rank", vec_id, score FROM r WHERE "rank" <= 20"""
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    fs = (op1_near_dup, op2_mixing, op3_fingerprints, op4_toxicity, op6_token_store, op7_token_counts, op8_quality, op9_packing, op10_topk)
+    fs = (op1_near_dup, op2_mixing, op3_fingerprints, op4_toxicity, op5_line_dedup, op6_token_store, op7_token_counts, op8_quality, op9_packing, op10_topk)
     return {f.__name__: f for f in fs}
 
 
