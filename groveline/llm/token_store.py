@@ -31,6 +31,7 @@ HEAD = struct.Struct("<5sBIQQ")
 #: Distinct words a worker remembers before it starts again.
 CACHE_WORDS = 1_000_000
 _ODD = re.compile(r" \s")
+_ENDS = (".", ",")
 _CUT = re.compile(r" (?=\S)")
 
 
@@ -171,10 +172,18 @@ class WordEncoder:
 
     def _learn(self, home: dict[str, bytes], wanted: set[str], before: str) -> None:
         wanted.difference_update(home)
+        # letters with a full stop or comma after them: two tokens of the pattern, encoded apart
+        ended = [w for w in wanted if w[-1:] in _ENDS and w[:-1].isalpha()] if home is self.known else []
+        if ended:
+            self._learn(self.heads, set(_ENDS), "")
+            wanted.difference_update(ended)
+            wanted.update(w[:-1] for w in ended if w[:-1] not in home)
         if wanted:
             new = list(wanted)
             for w, e in zip(new, self.t.encode_batch_fast([before + w for w in new], add_special_tokens=False), strict=True):
                 home[w] = np.asarray(e.ids, self.kind).tobytes()
+        for w in ended:
+            home[w] = home[w[:-1]] + self.heads[w[-1]]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Packed ids (``kind``) of every text."""
@@ -216,8 +225,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int, out: str, shards:
         enc = _encoder(tokenizer)
         end = np.asarray([end_id], enc.kind).tobytes()
         for b in it:
-            texts = ["" if t is None else t for t in b.column(1).to_pylist()]
-            ids = [x + end for x in enc.encode(texts)]
+            ids = [x + end for texts in C.text_slices(b.column(1)) for x in enc.encode(texts)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
 
     packed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
