@@ -64,7 +64,7 @@ def least_overlap(n: int, k: int, share: float) -> int:
 
 
 def sketches(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, n, cls (hash of the set; null for none), sketch."""
+    """doc_id, th (hash of the text), n, cls (hash of the set; null for none), sketch."""
 
     def run(it):
         for b in it:
@@ -82,11 +82,16 @@ def sketches(docs: DataFrame, width: int) -> DataFrame:
                 cls += [int(s) if m else None for s, m in zip(sums, n, strict=True)]
                 sk += [signed[at[i] : min(at[i] + SKETCH, at[i + 1])] for i in range(hi - lo)]
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(n_all, pa.int64()), pa.array(cls, pa.int64()), pa.array(sk, pa.list_(pa.int64()))], names=["doc_id", "n", "cls", "sketch"]
+                [b.column(0), b.column(2), pa.array(n_all, pa.int64()), pa.array(cls, pa.int64()), pa.array(sk, pa.list_(pa.int64()))],
+                names=["doc_id", "th", "n", "cls", "sketch"],
             )
 
-    text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return text.mapInArrow(run, "doc_id long, n long, cls long, sketch array<long>")
+    text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), _text_hash().alias("th"))
+    return text.mapInArrow(run, "doc_id long, th long, n long, cls long, sketch array<long>")
+
+
+def _text_hash():
+    return F.xxhash64(F.col("text").cast("string"))
 
 
 def _postings(classes: DataFrame, share: float) -> DataFrame:
@@ -201,8 +206,8 @@ def _verified(pairs: DataFrame, docs: DataFrame, width: int, share_pct: int) ->
     return joined.mapInArrow(run, "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, share_pct: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept: a row a document."""
+def _judged(docs: DataFrame, width: int, share_pct: int) -> DataFrame:
+    """doc_id, th, n_shingles, component_id, kept: a row a document."""
     C.ship(docs.sparkSession)
     share = share_pct / 100
     all_ = C.save(sketches(docs, width), "sketches")
@@ -239,9 +244,29 @@ def near_duplicates(docs: DataFrame, width: int = 5, share_pct: int = 80) -> Dat
     grouped = first.join(comp.select(F.col("node").alias("cls"), "component"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
     names = grouped.groupBy("component").agg(F.min("first_doc").alias("component_id"))
     by_class = grouped.join(names, "component").select("cls", "component_id")
-    rows = all_.select("doc_id", F.col("n").alias("n_shingles"), "cls").join(by_class, "cls", "left")
+    rows = all_.select("doc_id", "th", F.col("n").alias("n_shingles"), "cls").join(by_class, "cls", "left")
     out = F.when(F.col("doc_id").isNull(), None).otherwise(F.coalesce("component_id", "doc_id"))
-    return rows.select("doc_id", "n_shingles", out.alias("component_id"), F.coalesce(F.col("doc_id") == out, F.lit(True)).alias("kept"))
+    return rows.select("doc_id", "th", "n_shingles", out.alias("component_id"), F.coalesce(F.col("doc_id") == out, F.lit(True)).alias("kept"))
+
+
+def near_duplicates(docs: DataFrame, width: int = 5, share_pct: int = 80) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept: a row a document."""
+    return _judged(docs, width, share_pct).drop("th")
+
+
+def dedup(docs: DataFrame, width: int = 5, share_pct: int = 80) -> DataFrame:
+    """``docs`` with one document of each group, that with the smallest doc_id.
+
+    Rows without shingles or doc_id all stay; of repeated rows (equal doc_id and text) one stays.
+    """
+    names = [C.field(c) for c in docs.columns]
+    gone = C.save(_judged(docs, width, share_pct).where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("doc_id", "th").agg(F.bool_or("kept").alias("kept"), F.count("*").alias("n")), "judged")
+    d, th = F.col("doc_id").cast("long"), _text_hash()
+    marked = docs.withColumns({"_d": d, "_th": th})
+    gone = gone.where("NOT kept OR n > 1").select(F.col("doc_id").alias("_d"), F.col("th").alias("_th"), F.when(F.col("kept"), F.lit("repeated")).otherwise("gone").alias("_fate"))
+    marked = C.save(marked.join(gone, ["_d", "_th"], "left").where("_fate IS NULL OR _fate <> 'gone'"), "survivors")
+    once = marked.where("_fate IS NOT NULL").dropDuplicates(["_d", "_th"])
+    return marked.where("_fate IS NULL").select(*names).unionByName(once.select(*names))
 
 
 ORACLE = """
