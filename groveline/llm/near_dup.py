@@ -33,9 +33,9 @@ from pyspark.sql import functions as F
 
 from groveline.llm import common as C
 
-SKETCH = 96
+SKETCH = 192
 #: Deviations that the sampled overlap may fall below its mean.
-SIGMAS = 6.5
+SIGMAS = 5.5
 ROUNDS = 2
 
 
@@ -59,8 +59,19 @@ def least_overlap(n: int, k: int, share: float) -> int:
     if n > k:
         return max(1, sampled)
     whole = math.ceil(share * n - 1e-9)
-    other = n / share  # the other may be so large; of it at most other - k values are missing
-    return max(1, min(whole, whole if other <= k else math.floor(k - (1 - share) * other)))
+    return max(1, whole if n / share <= k else min(whole, sampled))
+
+
+def _need(na, nb, share: float):
+    """Values that the sketches of sets of ``na`` and ``nb`` share at least, if the sets are ``share`` alike.
+
+    Both whole: the overlap itself. Else the overlap's part of the larger set, of ``SKETCH`` drawn
+    values, less ``SIGMAS`` deviations.
+    """
+    both = (na + nb) * F.lit(share / (1 + share))
+    part = F.least(F.lit(1.0), both / F.greatest(na, nb))
+    drawn = F.lit(float(SKETCH)) * part - F.lit(SIGMAS) * F.sqrt(F.lit(float(SKETCH)) * part * (F.lit(1.0) - part))
+    return F.greatest(F.lit(1), F.when(F.greatest(na, nb) <= SKETCH, F.ceil(both - F.lit(1e-6))).otherwise(F.floor(F.least(drawn, both))).cast("int"))
 
 
 def sketches(docs: DataFrame, width: int) -> DataFrame:
@@ -95,41 +106,60 @@ def _text_hash():
 
 
 def _postings(classes: DataFrame, share: float) -> DataFrame:
-    """value, cls, n, band: the rare part of each sketch, without values that one class holds."""
+    """value, cls, n, band, pos, common: the rare part of each sketch, without values that one class holds.
+
+    ``pos`` is the value's place in its sketch from the rarest on; ``common`` counts the sketch's values
+    that other classes hold too.
+    """
     all_ = classes.select(F.explode("sketch").alias("value"), "cls", F.col("n").cast("int").alias("n"))
     df = all_.groupBy("value").agg(F.count("*").cast("int").alias("df")).where("df >= 2")
     shared = all_.join(df, "value")
     per = Window.partitionBy("cls")
     held = F.least(F.col("n"), F.lit(SKETCH))
     need = F.element_at(F.array(*[F.lit(least_overlap(i, SKETCH, share)) for i in range(1, SKETCH + 2)]), F.least(F.col("n"), F.lit(SKETCH + 1)))
-    rank = held - F.count("*").over(per) + F.row_number().over(per.orderBy("df", "value"))  # values held once come first
-    out = shared.withColumn("rank", rank).where(F.col("rank") <= held - need + 1)
+    common = F.count("*").over(per).cast("int")
+    pos = held - common + F.row_number().over(per.orderBy("df", "value")) - 1  # values held once come first
+    out = shared.withColumns({"common": common, "pos": pos.cast("int")}).where((F.col("pos") <= held - need) & (F.col("common") >= need))
     band = F.floor(F.log(F.col("n").cast("double")) / F.lit(math.log(1 / share))).cast("int")
-    return out.select("value", "cls", "n", band.alias("band"))
+    return out.select("value", "cls", "n", band.alias("band"), "pos", "common")
 
 
 def _sized(share_pct: int):
     return F.least("na", "nb") * 100 >= F.greatest("na", "nb") * share_pct
 
 
+def _may_link(share_pct: int):
+    """Length, count and prefix filters for a common value at ``pa`` and ``pb``: so many values must follow it in both."""
+    need = _need(F.col("na"), F.col("nb"), share_pct / 100)
+    fits = lambda n, pos: F.col(pos) + need <= F.least(F.col(n), F.lit(SKETCH))
+    return _sized(share_pct) & (F.least("ma", "mb") >= need) & fits("na", "pa") & fits("nb", "pb")
+
+
+def _sides(p: DataFrame, side: str, *more: str) -> DataFrame:
+    return p.select("value", F.col("cls").alias(side), *[F.col(c).alias(k + side) for c, k in (("n", "n"), ("pos", "p"), ("common", "m"))], *more)
+
+
 def _pivot_pairs(p: DataFrame, turn: int, share_pct: int) -> DataFrame:
-    """Every member with the pivots of its own band and the one below in its list."""
-    order = F.col("cls") if turn == 0 else F.xxhash64("cls", F.lit(turn))
-    pivot = p.groupBy("value", "band").agg(F.min(F.struct(order.alias("o"), "cls", "n")).alias("p"))
-    pivot = pivot.select("value", F.explode(F.array("band", F.col("band") + 1)).alias("band"), F.col("p.cls").alias("pc"), F.col("p.n").alias("pn"))
-    j = p.join(pivot, ["value", "band"]).where("cls <> pc")
-    j = j.select(F.least("cls", "pc").alias("a"), F.greatest("cls", "pc").alias("b"), F.when(F.col("cls") < F.col("pc"), F.col("n")).otherwise(F.col("pn")).alias("na"), F.when(F.col("cls") < F.col("pc"), F.col("pn")).otherwise(F.col("n")).alias("nb"))
-    return j.where(_sized(share_pct)).distinct()
+    """Every member with the pivots of its own band and the one below in its list.
+
+    A pivot holds the fewest values that no other class has, so it stands in the middle of its group.
+    """
+    own = F.least("n", F.lit(SKETCH)) - F.col("common")
+    order = F.struct(own, F.xxhash64("cls", F.lit(turn)))
+    pivot = p.groupBy("value", "band").agg(F.min(F.struct(order.alias("o"), "cls", "n", "pos", "common")).alias("p"))
+    pivot = pivot.select("value", F.explode(F.array("band", F.col("band") + 1)).alias("band"), *[F.col("p." + c).alias(k + "b") for c, k in (("cls", ""), ("n", "n"), ("pos", "p"), ("common", "m"))])
+    j = _sides(p, "a", "band").join(pivot, ["value", "band"]).where((F.col("a") != F.col("b")) & _may_link(share_pct))
+    first = F.col("a") < F.col("b")
+    return j.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.when(first, F.col("na")).otherwise(F.col("nb")).alias("na"), F.when(first, F.col("nb")).otherwise(F.col("na")).alias("nb")).distinct()
 
 
 def _open_pairs(p: DataFrame, comp: DataFrame, share_pct: int) -> DataFrame:
-    """All pairs of a list whose members aren't in one component yet."""
+    """All pairs of a list whose members aren't in one component yet and pass the filters."""
     c = _with_component(p, comp)
     left = c.groupBy("value").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 < c1").select("value")
     c = c.join(left, "value")
-    x = c.select("value", F.col("cls").alias("a"), F.col("n").alias("na"), F.col("c").alias("ca"))
-    y = c.select("value", F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("c").alias("cb"))
-    return x.join(y, (x["value"] == y["value"]) & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & _sized(share_pct)).select("a", "b", "na", "nb").distinct()
+    x, y = _sides(c, "a", F.col("c").alias("ca")), _sides(c, "b", F.col("c").alias("cb"))
+    return x.join(y, (x["value"] == y["value"]) & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & _may_link(share_pct)).select("a", "b", "na", "nb").distinct()
 
 
 def _with_component(p: DataFrame, comp: DataFrame | None) -> DataFrame:
