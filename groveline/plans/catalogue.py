@@ -1,3 +1,3 @@
 """Imports every module that registers queries."""
 
-from groveline.plans import vector_queries  # noqa: F401
+from groveline.plans import text_queries, vector_queries  # noqa: F401
