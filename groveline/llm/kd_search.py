@@ -136,6 +136,7 @@ def top_k(df: DataFrame, k: int, every: int, id_column: str = "vec_id", vector:
     queries = base.where(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), "v").distinct()
     blocks = max(1, -(-queries.count() // QUERY_BLOCK))
     queries = queries.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int"))
+    queries = C.save(queries, "queries")  # a table of its own, so that its columns differ from the shards'
 
     def wave(q: DataFrame, first: bool) -> DataFrame:
         home = F.pmod(F.xxhash64("query_id", F.lit(1)), F.lit(shards)).cast("int")
