@@ -90,9 +90,10 @@ def swaps(text: str) -> list[str]:
 def fit(texts: list[str], labels: np.ndarray, penalty: float = 10.0, steps: int = 300, l2: float = 2e-4) -> dict:
     y = np.asarray(labels, float)
     data, off = C.utf8(pa.array(texts, pa.large_string()))
-    parts = [(a, *features(data[off[a] : off[b]], off[a : b + 1] - off[a])) for a, b in C.runs_of_docs(off)]
+    # distinct in each block, so that the driver never holds every occurrence
+    parts = [(a, *C.distinct_sorted(*features(data[off[a] : off[b]], off[a : b + 1] - off[a]))) for a, b in C.runs_of_docs(off)]
     rows, h = np.concatenate([r + a for a, r, _ in parts]), np.concatenate([x for *_, x in parts])
-    rows, h = C.distinct_sorted(rows, h)
+    del parts
     kinds, code = np.unique(h, return_inverse=True)
     n1 = np.bincount(code, y[rows], len(kinds))
     n0 = np.bincount(code, 1 - y[rows], len(kinds))
@@ -114,7 +115,8 @@ def fit(texts: list[str], labels: np.ndarray, penalty: float = 10.0, steps: int
     for sign, side in ((-1.0, [a for a, _ in pairs]), (1.0, [b for _, b in pairs])):
         if side:
             d2, o2 = C.utf8(pa.array(side, pa.large_string()))
-            r2, h2 = C.distinct_sorted(*features(d2, o2))
+            cut = [(a, *C.distinct_sorted(*features(d2[o2[a] : o2[b]], o2[a : b + 1] - o2[a]))) for a, b in C.runs_of_docs(o2)]
+            r2, h2 = np.concatenate([r + a for a, r, _ in cut]), np.concatenate([x for *_, x in cut])
             a2 = np.minimum(np.searchsorted(vocabulary, h2), len(vocabulary) - 1)
             k2 = vocabulary[a2] == h2
             dr, df, dv = np.concatenate([dr, r2[k2]]), np.concatenate([df, a2[k2]]), np.concatenate([dv, np.full(int(k2.sum()), sign)])
