@@ -1,9 +1,11 @@
 """Operators against plain Python on small fixtures."""
 
 import random
+import re
 
 import numpy as np
 
+from groveline.operators import entities as E
 from groveline.operators import graph as G
 from groveline.operators import similarity as S
 from groveline.operators import text as T
@@ -67,3 +69,13 @@ def test_empty_vectors(spark):
     e = spark.createDataFrame([], "vec_id long, label long, v array<double>")
     assert G.kmeans(e, 3).count() == 0
     assert S.neighbours(e.selectExpr("vec_id AS id", "v"), 3).count() == 0
+
+
+def test_keyword_overlap_takes_words_of_any_script(spark):
+    items = [(1, "Die Größe der Straße_7 über 100"), (2, "день добрый"), (3, "naïve café ol"), (4, None)]
+    docs = [(1, "GRÖSSE, größe; STRASSE_7 straße_7"), (2, "Добрый вечер"), (3, "café naive caf"), (4, ""), (5, None)]
+    words = lambda t: set(re.findall(r"\b\w{3,}\b", (t or "").lower()))
+    want = {(i, d): round(len(words(q) & words(t)) / len(words(q)), 6) for i, q in items for d, t in docs if words(q) & words(t)}
+    made = E.keyword_overlap(spark.createDataFrame(items, "item_id long, text string"), spark.createDataFrame(docs, "doc_id long, text string"))
+    assert {(r["item_id"], r["doc_id"]): r["score"] for r in made.collect()} == want
+    assert (2, 2) in want and (1, 1) in want
