@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from groveline.functions import vectors as V
+from groveline.operators import similarity as S
 from groveline.session import save
 
 
@@ -66,6 +69,20 @@ def undirected(edges: DataFrame, how) -> DataFrame:
     return edges.groupBy(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).agg(how("weight").alias("weight"))
 
 
+def passage_graph(*edges: DataFrame) -> DataFrame:
+    """a, b, weight: neighbour, reading-order and shared-entity edges (a < b) summed for each pair."""
+    parts = [e.select("a", "b", "weight") for e in edges]
+    return reduce(DataFrame.unionByName, parts).groupBy("a", "b").agg(F.sum("weight").alias("weight"))
+
+
+def similarity_graph(tree: DataFrame, least: float) -> DataFrame:
+    """src, dst, score: the pairs of tree nodes of any level with a cosine of ``least`` or more."""
+    n = save(tree.select(F.xxhash64("node_id").alias("id"), "node_id", "v"), "tree")
+    e = S.neighbours(n.select("id", "v"), None, least)
+    name = lambda c, to: n.select(F.col("id").alias(c), F.col("node_id").alias(to))
+    return e.join(name("id", "src"), "id").join(name("other", "dst"), "other").select("src", "dst", "score")
+
+
 def mirrored(edges: DataFrame) -> DataFrame:
     return edges.select(F.explode(F.array(F.struct(F.col("a").alias("src"), F.col("b").alias("dst")), F.struct(F.col("b").alias("src"), F.col("a").alias("dst")))).alias("e"), "weight").select("e.src", "e.dst", "weight")
 

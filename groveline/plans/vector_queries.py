@@ -192,8 +192,8 @@ _PASS = f"{_KNN}, {_SEQ}, g AS (SELECT a, b, sum(w) AS w FROM (SELECT a, b, w FR
 
 
 def _passages(spark, sf):
-    both = _knn(spark, sf).unionByName(_sequence(spark, sf).withColumn("weight", F.lit(0.5)))
-    return both.groupBy("a", "b").agg(F.sum("weight").alias("weight"))
+    """Without entity edges: ``embeddings`` has no texts to take entities from."""
+    return G.passage_graph(_knn(spark, sf), _sequence(spark, sf).withColumn("weight", F.lit(0.5)))
 
 
 @query("g10_passage_graph", f"WITH {_PASS} SELECT a, b, round(w, 6) AS weight FROM g")
@@ -213,7 +213,8 @@ def g11(spark, sf):
 
 @query("g12_similarity_graph", f"WITH {PAIRS} SELECT id AS src, other AS dst, score FROM p WHERE score > 0.3")
 def g12(spark, sf):
-    return S.neighbours(_ids(_emb(spark, sf)), None, 0.300001).select(F.col("id").alias("src"), F.col("other").alias("dst"), "score")
+    """All tree nodes with a cosine above 0.3; the SQL has leaves only."""
+    return G.similarity_graph(G.label_tree(_emb(spark, sf)), 0.300001)
 
 
 _PPR = (

@@ -79,3 +79,31 @@ def test_keyword_overlap_takes_words_of_any_script(spark):
     made = E.keyword_overlap(spark.createDataFrame(items, "item_id long, text string"), spark.createDataFrame(docs, "doc_id long, text string"))
     assert {(r["item_id"], r["doc_id"]): r["score"] for r in made.collect()} == want
     assert (2, 2) in want and (1, 1) in want
+
+
+def vectors(spark, n, copies, seed):
+    """``copies`` equal vectors near the query 0 under one label, then ``n`` others of three labels."""
+    rnd = np.random.RandomState(seed)
+    v = rnd.normal(size=(1 + copies + n, 8))
+    v[1 : copies + 1] = v[0] + 1.2 * rnd.normal(size=8)
+    v /= np.linalg.norm(v, axis=1)[:, None]
+    label = [0] * (copies + 1) + [1 + i % 3 for i in range(n)]
+    return v, label, spark.createDataFrame([(i, label[i], v[i].tolist()) for i in range(len(v))], "vec_id long, label int, v array<double>")
+
+
+def test_passage_graph_sums_neighbour_reading_order_and_entity_edges(spark):
+    edge = lambda rows: spark.createDataFrame(rows, "a long, b long, weight double")
+    ents = spark.createDataFrame([(1, "x"), (2, "x"), (1, "y"), (4, "y"), (3, "z")], "doc_id long, entity string")
+    shared = E.shared_weights(ents, E.postings(ents, 5))
+    got = {(r["a"], r["b"]): round(r["weight"], 6) for r in G.passage_graph(edge([(1, 2, 0.6)]), edge([(1, 2, 0.5), (2, 3, 0.5)]), shared).collect()}
+    idf = float(np.log(5 / 2))
+    assert got == {(1, 2): round(1.1 + idf, 6), (2, 3): 0.5, (1, 4): round(idf, 6)}
+
+
+def test_similarity_graph_has_all_nodes(spark):
+    v, label, e = vectors(spark, 12, 3, 6)
+    nodes = {r["node_id"]: np.array(r["v"]) for r in G.label_tree(e).collect()}
+    want = {(a, b) for a in nodes for b in nodes if a != b and round(float(nodes[a] @ nodes[b]), 6) >= 0.300001}
+    got = {(r["src"], r["dst"]) for r in G.similarity_graph(G.label_tree(e), 0.300001).collect()}
+    assert got == want
+    assert any("ROOT" in p for p in got) and any(a.startswith("L1_A") for a, _ in got)
