@@ -107,3 +107,29 @@ def test_similarity_graph_has_all_nodes(spark):
     got = {(r["src"], r["dst"]) for r in G.similarity_graph(G.label_tree(e), 0.300001).collect()}
     assert got == want
     assert any("ROOT" in p for p in got) and any(a.startswith("L1_A") for a, _ in got)
+
+
+def test_pagerank_query_runs_thirty_steps(spark):
+    from conftest import SF
+
+    from groveline.plans import registry
+
+    q = registry.queries()
+    p, seeds = {}, {}
+    for r in q["g11_transition"](spark, SF).collect():
+        p.setdefault(r["src"], []).append((r["dst"], r["p"]))
+    for r in q["r1_flat_topk"](spark, SF).where("rank <= 3").collect():
+        seeds.setdefault(r["query_id"], {})[r["node_id"]] = max(r["score"], 1e-6)
+    want = {}
+    for query, w in seeds.items():
+        seed = {n: x / sum(w.values()) for n, x in w.items()}
+        mass = dict(seed)
+        for _ in range(30):
+            nxt = {n: 0.5 * x for n, x in seed.items()}
+            for n, x in mass.items():
+                for to, share in p.get(n, ()):
+                    nxt[to] = nxt.get(to, 0.0) + 0.5 * x * share
+            mass = nxt
+        want |= {(query, n): x for n, x in mass.items()}
+    got = {(r["query_id"], r["node_id"]): r["mass"] for r in q["g13_pagerank_steps"](spark, SF).collect()}
+    assert set(got) == set(want) and all(abs(got[k] - want[k]) < 1e-5 for k in want)
