@@ -114,10 +114,21 @@ def beam_leaves(e: DataFrame, queries: DataFrame, width: int) -> DataFrame:
     return leaves.select("query_id", F.col("vec_id").alias("node_id"), F.round(V.dot(F.col("qv"), F.col("v")), 6).alias("score"))
 
 
-def gated(pool: DataFrame) -> DataFrame:
-    """``pool`` with each document's share of the best score, 0 at least."""
-    doc, all_ = Window.partitionBy("query_id", "label"), Window.partitionBy("query_id")
-    return pool.withColumn("gate", F.round(F.greatest(F.lit(0.0), F.max("score").over(doc)) / F.max("score").over(all_), 6))
+def gates(scores: DataFrame) -> DataFrame:
+    """query_id, label, gate: each document's best score as a share of the query's best, 0 at least."""
+    best = scores.groupBy("query_id", "label").agg(F.max("score").alias("best"))
+    top = F.max("best").over(Window.partitionBy("query_id"))
+    return best.select("query_id", "label", F.round(F.greatest(F.lit(0.0), "best") / F.when(top == 0, 1.0).otherwise(top), 6).alias("gate"))
+
+
+def gated_pool(scores: DataFrame, k: int) -> DataFrame:
+    """The leaves that can be among ``k`` diverse picks, with their gate: each query's ``k`` best and each document's best."""
+    item = F.struct("score", (-F.col("node_id")).alias("o"))
+    first = scores.groupBy("query_id", "label").agg(F.max(item).alias("m")).select("query_id", (-F.col("m.o")).alias("node_id"), "label", "m.score")
+    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "node_id")
+    top = scores.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k).select("query_id", "node_id", "label", "score")
+    pool, g = top.union(first).distinct(), gates(scores).withColumnsRenamed({"query_id": "_q", "label": "_l"})
+    return pool.join(g, (F.col("query_id") == F.col("_q")) & F.col("label").eqNullSafe(F.col("_l"))).drop("_q", "_l")
 
 
 def diverse(pool: DataFrame, k: int, bonus: float) -> DataFrame:
@@ -129,17 +140,18 @@ def diverse(pool: DataFrame, k: int, bonus: float) -> DataFrame:
     return p.withColumn("pick", F.row_number().over(w)).where(F.col("pick") <= k).select("query_id", "pick", "node_id", "label", "adjusted")
 
 
-def mmr(pool: DataFrame, k: int, weight: float) -> DataFrame:
-    """query_id, pick, node_id, score: greedy maximal marginal relevance inside each query's bounded pool."""
-    item = F.struct("node_id", "score", "v")
-    g = pool.groupBy("query_id").agg(F.sort_array(F.collect_list(item)).alias("pool"))
-    kind = g.schema["pool"].dataType.simpleString()
+def mmr(queries: DataFrame, leaves: DataFrame, k: int, weight: float) -> DataFrame:
+    """query_id, pick, node_id, score: greedy maximal marginal relevance over all ``leaves`` (node_id, v) but the query itself.
 
-    def step(chosen, i):
-        left = F.filter("pool", lambda x: ~F.exists(chosen, lambda y: y["node_id"] == x["node_id"]))
-        worth = lambda x: F.round(F.lit(weight) * x["score"] - F.lit(1 - weight) * F.coalesce(F.array_max(F.transform(chosen, lambda y: V.dot(x["v"], y["v"]))), F.lit(0.0)), 9)
-        best = F.array_max(F.transform(left, lambda x: F.struct(worth(x).alias("m"), (-x["node_id"]).alias("o"), x.alias("x"))))
-        return F.when(F.size(left) == 0, chosen).otherwise(F.concat(chosen, F.array(best["x"])))
-
-    picked = g.select("query_id", F.aggregate(F.sequence(F.lit(1), F.lit(k)), F.array().cast(kind), step).alias("c"))
-    return picked.select("query_id", F.posexplode("c").alias("pick", "x")).select("query_id", (F.col("pick") + 1).alias("pick"), "x.node_id", "x.score")
+    Each of the ``k`` rounds is one maximum a query; the chosen, k - 1 vectors at most, travel with their query.
+    """
+    kind = "array<struct<node_id:bigint,score:double,v:array<double>>>"
+    now = save(queries.select("query_id", "qv", F.array().cast(kind).alias("chosen")), "mmr")
+    for i in range(k):
+        near = F.array_max(F.transform("chosen", lambda y: V.dot(F.col("v"), y["v"]))) if i else F.lit(0.0)
+        of = leaves.hint("shuffle_replicate_nl").join(now, (F.col("node_id") != F.col("query_id")) & ~F.exists("chosen", lambda y: y["node_id"] == F.col("node_id")))
+        of = of.withColumn("score", F.round(V.dot(F.col("qv"), F.col("v")), 6)).withColumn("m", F.round(F.lit(weight) * F.col("score") - F.lit(1 - weight) * near, 9))
+        best = of.groupBy("query_id").agg(F.max(F.struct("m", (-F.col("node_id")).alias("o"), "score")).alias("b")).select("query_id", (-F.col("b.o")).alias("node_id"), "b.score")
+        best = best.join(leaves.select("node_id", "v"), "node_id").select("query_id", F.array(F.struct(F.col("node_id").cast("long").alias("node_id"), "score", "v")).cast(kind).alias("one"))
+        now = save(now.join(best, "query_id", "left").select("query_id", "qv", F.concat("chosen", F.coalesce("one", F.array().cast(kind))).alias("chosen")), "mmr")
+    return now.select("query_id", F.posexplode("chosen").alias("pick", "x")).select("query_id", (F.col("pick") + 1).alias("pick"), "x.node_id", "x.score")

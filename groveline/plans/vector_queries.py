@@ -291,7 +291,7 @@ _GATE = f"{SC}{_RANK}, pool AS (SELECT * FROM r WHERE \"rank\" <= 20), gt AS (SE
 
 @query("r12_relevance_gate", f"WITH {_GATE} SELECT DISTINCT query_id, label, gate FROM gt")
 def r12(spark, sf):
-    return G.gated(_ranked(_scores(spark, sf), 20)).select("query_id", "label", "gate").distinct()
+    return G.gates(_scores(spark, sf))
 
 
 @query(
@@ -300,15 +300,14 @@ def r12(spark, sf):
 k AS (SELECT query_id, node_id, label, adjusted, row_number() OVER (PARTITION BY query_id ORDER BY adjusted DESC, node_id)::INT AS pick FROM ad) SELECT query_id, pick, node_id, label, adjusted FROM k WHERE pick <= 5""",
 )
 def r13(spark, sf):
-    return G.diverse(G.gated(_ranked(_scores(spark, sf), 20)), 5, 0.15)
+    return G.diverse(G.gated_pool(_scores(spark, sf), 5), 5, 0.15)
 
 
 @query("r4_mmr")
 def r4(spark, sf):
-    """Maximal marginal relevance over each query's 20 nearest leaves."""
+    """Maximal marginal relevance over all leaves."""
     e = _emb(spark, sf)
-    pool = _ranked(_scores(spark, sf), 20).join(e.select(F.col("vec_id").alias("node_id"), "v"), "node_id")
-    return G.mmr(pool, 5, 0.7)
+    return G.mmr(e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("v").alias("qv")), e.select(F.col("vec_id").alias("node_id"), "v"), 5, 0.7)
 
 
 @query("r24_compare_all", f"""WITH {SC}{_RANK} SELECT 'flat' AS method, query_id, "rank", node_id, score FROM r WHERE "rank" <= 5 UNION ALL SELECT 'flat_min', query_id, "rank", node_id, score FROM r WHERE "rank" <= 5 AND score >= 0.3""")

@@ -91,6 +91,35 @@ def vectors(spark, n, copies, seed):
     return v, label, spark.createDataFrame([(i, label[i], v[i].tolist()) for i in range(len(v))], "vec_id long, label int, v array<double>")
 
 
+def test_mmr_leaves_more_than_twenty_copies(spark):
+    v, _, e = vectors(spark, 30, 25, 4)
+    s, taken = np.round(v @ v[0], 6), []
+    for _ in range(5):
+        worth = {i: round(0.7 * s[i] - 0.3 * max((v[i] @ v[j] for j in taken), default=0.0), 9) for i in range(1, len(v)) if i not in taken}
+        taken.append(min(worth, key=lambda i: (-worth[i], i)))
+    got = G.mmr(e.where("vec_id = 0").selectExpr("vec_id AS query_id", "v AS qv"), e.selectExpr("vec_id AS node_id", "v"), 5, 0.7).collect()
+    assert [r["node_id"] for r in sorted(got, key=lambda r: r["pick"])] == taken
+    assert max(taken) > 25
+
+
+def test_gates_and_diversity_reach_labels_behind_copies(spark):
+    v, label, e = vectors(spark, 30, 25, 4)
+    s = {i: float(np.round(v[i] @ v[0], 6)) for i in range(1, len(v))}
+    best = {g: max(x for i, x in s.items() if label[i] == g) for g in set(label)}
+    gate = {g: round(max(0.0, b) / max(best.values()), 6) for g, b in best.items()}
+    scores = spark.createDataFrame([(0, i, label[i], x) for i, x in s.items()], "query_id long, node_id long, label int, score double")
+    assert {r["label"]: r["gate"] for r in G.gates(scores).collect()} == gate
+    left, seen, want = dict(s), set(), []
+    for _ in range(5):
+        worth = {i: round(x + (0.0 if label[i] in seen else 0.4 * gate[label[i]]), 6) for i, x in left.items()}
+        want.append(min(worth, key=lambda i: (-worth[i], i)))
+        seen.add(label[want[-1]])
+        left.pop(want[-1])
+    got = sorted(G.diverse(G.gated_pool(scores, 5), 5, 0.4).collect(), key=lambda r: r["pick"])
+    assert [r["node_id"] for r in got] == want
+    assert len(seen) > 1
+
+
 def test_passage_graph_sums_neighbour_reading_order_and_entity_edges(spark):
     edge = lambda rows: spark.createDataFrame(rows, "a long, b long, weight double")
     ents = spark.createDataFrame([(1, "x"), (2, "x"), (1, "y"), (4, "y"), (3, "z")], "doc_id long, entity string")
