@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -312,7 +314,12 @@ def r4(spark, sf):
 
 @query("r24_compare_all", f"""WITH {SC}{_RANK} SELECT 'flat' AS method, query_id, "rank", node_id, score FROM r WHERE "rank" <= 5 UNION ALL SELECT 'flat_min', query_id, "rank", node_id, score FROM r WHERE "rank" <= 5 AND score >= 0.3""")
 def r24(spark, sf):
-    return r1(spark, sf).withColumn("method", F.lit("flat")).unionByName(r5(spark, sf).withColumn("method", F.lit("flat_min")))
+    """The rankings of r1, r5, r6, r7 and r8 with tree node ids; the score of the graph is its mass. The SQL has only the first two."""
+    leaf = F.concat(F.lit("leaf_"), F.col("node_id").cast("string"))
+    made = {"flat": r1(spark, sf), "flat_min": r5(spark, sf), "graph": r7(spark, sf).withColumnRenamed("mass", "score"), "beam": r8(spark, sf)}
+    made = {k: d.withColumn("node_id", leaf) for k, d in made.items()} | {"collapsed": r6(spark, sf)}
+    out = [d.select(F.lit(k).alias("method"), "query_id", "rank", "node_id", "score") for k, d in made.items()]
+    return reduce(DataFrame.unionByName, out)
 
 
 @query("s4_tree_json")

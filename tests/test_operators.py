@@ -162,3 +162,19 @@ def test_pagerank_query_runs_thirty_steps(spark):
         want |= {(query, n): x for n, x in mass.items()}
     got = {(r["query_id"], r["node_id"]): r["mass"] for r in q["g13_pagerank_steps"](spark, SF).collect()}
     assert set(got) == set(want) and all(abs(got[k] - want[k]) < 1e-5 for k in want)
+
+
+def test_compare_all_has_every_built_retriever(spark):
+    from conftest import SF
+
+    from groveline.plans import registry
+
+    q = registry.queries()
+    got = {(r["method"], r["query_id"], r["rank"], r["node_id"], r["score"]) for r in q["r24_compare_all"](spark, SF).collect()}
+    names = {"flat": "r1_flat_topk", "flat_min": "r5_min_score", "collapsed": "r6_collapsed_tree", "graph": "r7_graph_retrieval", "beam": "r8_beam_descent"}
+    want = set()
+    for method, name in names.items():
+        for r in q[name](spark, SF).collect():
+            node = r["node_id"] if method == "collapsed" else f"leaf_{r['node_id']}"
+            want.add((method, r["query_id"], r["rank"], node, r["mass"] if method == "graph" else r["score"]))
+    assert got == want and {g[0] for g in got} == set(names)
