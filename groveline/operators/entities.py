@@ -73,3 +73,24 @@ def keyword_overlap(queries: DataFrame, texts: DataFrame, query: str = "item_id"
     q = of(queries, query).select(query, F.size("ws").alias("n"), F.explode("ws").alias("w"))
     t = of(texts, key).select(key, F.explode("ws").alias("w"))
     return t.join(q, "w").groupBy(query, key, "n").agg(F.count("*").alias("c")).select(query, key, F.round(F.col("c") / F.col("n"), 6).alias("score"))
+
+
+TERM = "[a-z]{6,}"
+
+
+def uncovered(items: DataFrame, texts: DataFrame, query: str = "item_id", key: str = "doc_id") -> DataFrame:
+    """The items whose terms (6 or more letters) no text holds to 60 %; a term may stand inside a longer run of letters.
+
+    A term inside a text is inside one of its runs, so distinct runs meet the terms by six-letter pieces and texts meet items by terms.
+    """
+    t = items.select(query, F.array_distinct(T.matches(F.lower(T.masked(F.col("text"))), TERM)).alias("ts"))
+    t = t.select(query, F.ceil(0.6 * F.size("ts")).alias("need"), F.explode_outer("ts").alias("term"))
+    runs = texts.select(key, F.explode(F.array_distinct(T.matches(F.lower(F.coalesce("text", F.lit(""))), TERM))).alias("run"))
+    pieces = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("run") - 5), lambda i: F.substring("run", i, F.lit(6))))
+    cut = runs.select("run").distinct().select("run", F.explode(pieces).alias("piece"))
+    terms = t.where("term IS NOT NULL").select("term", F.substring("term", 1, 6).alias("piece")).distinct()
+    holds = cut.join(terms, "piece").where(F.contains("run", "term")).select("run", "term").distinct()
+    post = runs.join(holds, "run").select(key, "term").distinct()
+    full = post.join(t, "term").groupBy(query, key, "need").agg(F.count("*").alias("n")).where("n >= need").select(query)
+    free = t.where("need = 0").select(query).join(texts.limit(1).select(F.lit(1).alias("any"))).select(query)  # no terms: any text will do
+    return items.join(full.union(free).distinct(), query, "left_anti")

@@ -178,3 +178,13 @@ def test_compare_all_has_every_built_retriever(spark):
             node = r["node_id"] if method == "collapsed" else f"leaf_{r['node_id']}"
             want.add((method, r["query_id"], r["rank"], node, r["mass"] if method == "graph" else r["score"]))
     assert got == want and {g[0] for g in got} == set(names)
+
+
+def test_gold_validation_looks_at_every_document(spark):
+    items = [(1, "gamma lambda1 letters counted orchard planets"), (2, "Nowhere written"), (3, "abc"), (4, "vessels")]
+    half = "gamma lambda1 letters abc"  # many copies that share words but too few terms
+    docs = [(i, half) for i in range(8)] + [(8, "xlettersx; ücountedü ORCHARD-planets"), (9, "Wevesselsen"), (10, None)]
+    terms = lambda t: set(re.findall("[a-z]{6,}", t.lower()))
+    bad = {i for i, q in items if not any(sum(x in (d or "").lower() for x in terms(q)) >= -(-6 * len(terms(q)) // 10) for _, d in docs)}
+    got = E.uncovered(spark.createDataFrame(items, "item_id long, text string"), spark.createDataFrame(docs, "doc_id long, text string"))
+    assert {r["item_id"] for r in got.collect()} == bad == {2}
