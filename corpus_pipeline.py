@@ -58,7 +58,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality", quality), ("lines", lines), ("near_duplicates", near_duplicates), ("mix", mix), ("pack", pack)]
 
-#: The first stage is a fitted model, which SQL can't express; tests hold the rows against a brute-force version.
+#: The first stage is a fitted model, which SQL can't express; tests check that it runs and that its ids are among the input's.
 ORACLE_SQL = None
 
 
