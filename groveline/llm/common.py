@@ -23,8 +23,8 @@ _TABLE ^= np.random.RandomState(7).randint(0, 2**62, 256, dtype=np.int64).astype
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 2**64)
 _powers: dict[str, np.ndarray] = {}
-#: Bytes hashed at a time, so that the power tables stay small.
-BLOCK_BYTES = 1 << 20
+#: Bytes hashed at a time, so that the power tables and a worker's arrays stay small.
+BLOCK_BYTES = 1 << 18
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,20 +54,71 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def utf8(col) -> tuple[np.ndarray, np.ndarray]:
-    """The bytes of a string column and each row's offsets into them (n + 1); null is empty."""
+    """The bytes of a string column, not copied where they needn't be, and each row's offsets into them (n + 1); null is empty."""
     if isinstance(col, pa.ChunkedArray):
         col = col.combine_chunks()
         if isinstance(col, pa.ChunkedArray):
             col = pa.concat_arrays(col.chunks) if col.num_chunks else pa.array([], pa.string())
-    col = col.cast(pa.large_string()).fill_null("")
     if not len(col):
         return np.zeros(0, np.uint8), np.zeros(1, np.int64)
-    off = np.frombuffer(col.buffers()[1], np.int64)[col.offset : col.offset + len(col) + 1]
+    if not (pa.types.is_string(col.type) or pa.types.is_large_string(col.type)):
+        col = col.cast(pa.large_string())
+    if col.null_count:
+        col = col.fill_null("")
+    kind = np.int64 if pa.types.is_large_string(col.type) else np.int32
+    off = np.frombuffer(col.buffers()[1], kind)[col.offset : col.offset + len(col) + 1].astype(np.int64)
     raw = col.buffers()[2]
     data = np.frombuffer(raw, np.uint8) if raw is not None and raw.size else np.zeros(0, np.uint8)
     return data[off[0] : off[-1]], off - off[0]
 
 
+def lists(at: np.ndarray, values: np.ndarray) -> pa.Array:
+    """A list column from its offsets (n + 1) and flat values."""
+    return pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(values))
+
+
+def light(run):
+    """``run`` over a task's batches, after which the worker hands free memory back: it lives on between tasks."""
+
+    def out(it):
+        yield from run(it)
+        release_memory()
+
+    return out
+
+
+def release_memory() -> None:
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def settle(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of steps whose results are written: nobody holds their plans any more."""
+    import gc
+    import time
+
+    for _ in range(2):  # the driver's objects go first, then what they held; executors delete a moment later
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.3)
+
+
+def free(columns, *wanted: str) -> list[str]:
+    """``wanted`` names, each lengthened until no column has it (in any case)."""
+    have, out = {c.lower() for c in columns}, []
+    for name in wanted:
+        while name.lower() in have:
+            name += "_"
+        have.add(name.lower())
+        out.append(name)
+    return out
+
+
 def runs_of_docs(off: np.ndarray, most: int = BLOCK_BYTES):
     """Ranges of rows whose bytes together stay near ``most``; one long row is a range of its own."""
     n, a = len(off) - 1, 0
@@ -196,7 +247,9 @@ def components(edges: DataFrame, a: str, b: str, name: str = "components") -> Da
         n, owners = e.agg(F.count("*"), F.countDistinct("u")).first()
         # Stars: every node points at one other, and no centre points on.
         if n == owners and e.join(e.select(F.col("v").alias("u")).distinct(), "u", "left_semi").isEmpty():
-            return e.select(F.col("u").alias("node"), F.col("v").alias("component"))
+            out = e.select(F.col("u").alias("node"), F.col("v").alias("component"))
+            out._groveline_path = e._groveline_path
+            return out
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         m = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         step = both.where("v > u").join(m, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
@@ -231,7 +284,7 @@ def with_score(docs: DataFrame, name: str, score, model) -> DataFrame:
     spark = docs.sparkSession
     ship(spark)
     docs = docs.drop(name)
-    at, names = docs.columns.index("text"), [*docs.columns, name]
+    at, names = [c.lower() for c in docs.columns].index("text"), [*docs.columns, name]
     shared = spark.sparkContext.broadcast(model)
 
     def run(it):
@@ -239,7 +292,7 @@ def with_score(docs: DataFrame, name: str, score, model) -> DataFrame:
             s = score(shared.value, b.column(at))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(s, pa.float64())], names=names)
 
-    return docs.mapInArrow(run, StructType([*docs.schema.fields]).add(name, DoubleType()))
+    return docs.mapInArrow(light(run), StructType([*docs.schema.fields]).add(name, DoubleType()))
 
 
 #: Bits of the filter of :func:`only_ids`: 1 MB, whatever the input.
@@ -251,8 +304,7 @@ def only_ids(df: DataFrame, key, ids: DataFrame, ids_key) -> DataFrame:
 
     False hits grow as the bitmap fills, so a join must follow; no true row is lost at any size.
     """
-    import pandas as pd
-    from pyspark.sql.types import IntegerType, StructType
+    from pyspark.sql.types import StructType
 
     spark = df.sparkSession
     ship(spark)
@@ -260,7 +312,7 @@ def only_ids(df: DataFrame, key, ids: DataFrame, ids_key) -> DataFrame:
     h = ids.select(slot(ids_key).alias("h"))
     word = F.shiftright("h", 5).alias("w")
     bit = F.expr("shiftleft(1L, h & 31)")
-    got: pd.DataFrame = h.groupBy(word).agg(F.bit_or(bit).alias("b")).toPandas()  # at most FILTER_BITS / 32 rows
+    got = h.groupBy(word).agg(F.bit_or(bit).alias("b")).toPandas()  # at most FILTER_BITS / 32 rows
     words = np.zeros(FILTER_BITS // 32, np.uint32)
     words[got["w"].to_numpy(int)] = got["b"].to_numpy(np.int64).astype(np.uint32)
     shared = spark.sparkContext.broadcast(words)
@@ -273,7 +325,7 @@ def only_ids(df: DataFrame, key, ids: DataFrame, ids_key) -> DataFrame:
             if hit.any():
                 yield pa.RecordBatch.from_arrays(b.columns[:n], names=names).filter(pa.array(hit.astype(bool)))
 
-    return df.withColumn("_slot", slot(key)).mapInArrow(run, StructType([*df.schema.fields]))
+    return df.select("*", slot(key).alias(free(names, "slot")[0])).mapInArrow(light(run), StructType([*df.schema.fields]))
 
 
 def worker_cache(name: str) -> dict:

@@ -2,10 +2,13 @@
 
 Ids are stored in the fewest bits that hold the vocabulary, in blocks of ``BLOCK`` ids.
 
-A shard file: magic ``GLTK1``, u8 bits, u32 block size, u64 number of ids, u64 number of
-documents; then u64 byte offsets of the blocks (blocks + 1), u64 end position of every document
-(in ids), i64 doc ids, u8 flags for null doc ids, and the packed blocks. Every block starts on a
-byte, so any range of ids unpacks on its own with numpy.
+A shard file: magic ``GLTK2``, the packed blocks, each of which starts on a byte, so that any range of ids
+unpacks on its own with numpy; then the directory: u64 byte offsets of the blocks (blocks + 1), u64 end
+position of every document (in ids), i64 doc ids, u8 flags for null doc ids; and a tail: u8 bits, u32 block
+size, u64 number of ids, u64 number of documents, u64 where the directory starts, magic. Blocks
+are written as they fill, so a writer holds one block's rest and the directory.
+
+Text that spells a special token (as ``<|endoftext|>``) is encoded as plain text, as the tokenizers' notes ask.
 
 Cases: null and empty texts hold the end id alone; equal doc_ids are stored one after another
 (ordered by their ids' checksum); a null doc_id comes first; an empty table makes no file and no
@@ -16,7 +19,9 @@ from __future__ import annotations
 
 import re
 import struct
+import uuid
 import zlib
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -25,13 +30,18 @@ from pyspark.sql import functions as F
 
 from groveline.llm import common as C
 
-MAGIC = b"GLTK1"
+MAGIC = b"GLTK2"
 BLOCK = 4096
-HEAD = struct.Struct("<5sBIQQ")
+TAIL = struct.Struct("<BIQQQ5s")
 #: Distinct words a worker remembers before it starts again.
 CACHE_WORDS = 1_000_000
+#: Bytes of texts encoded at a time.
+_TEXT_BYTES = 1 << 20
+#: Pieces encoded on one line.
+_TOGETHER = 512
+#: How byte-level vocabularies write a space.
+_SPACE = "\u0120"
 _ODD = re.compile(r" \s")
-_ENDS = (".", ",")
 _CUT = re.compile(r" (?=\S)")
 
 
@@ -55,13 +65,19 @@ def unpack(raw: bytes, bits: int, n: int) -> np.ndarray:
 
 
 class ShardWriter:
-    """Collects documents in order and writes one shard file."""
+    """Takes documents in order and writes one shard file: under a name of this attempt, then renamed, so that a
+    repeated task leaves the same file."""
 
-    def __init__(self, bits: int, block: int = BLOCK):
+    def __init__(self, uri: str, bits: int, block: int = BLOCK):
         self.bits, self.block = bits, block
-        self.rest, self.packed, self.offsets = [], [], [0]
+        self.rest, self.offsets = [], [0]
         self.waiting = self.n = 0
         self.ends, self.doc_ids, self.nulls = [], [], []
+        self.fs, self.path = C.open_fs(uri)
+        self.fs.create_dir(self.path.rpartition("/")[0], recursive=True)
+        self.part = f"{self.path}.{uuid.uuid4().hex}.part"
+        self.f = self.fs.open_output_stream(self.part)
+        self.f.write(MAGIC)
 
     def add(self, doc_id: int | None, ids: np.ndarray) -> None:
         self.n += len(ids)
@@ -78,27 +94,17 @@ class ShardWriter:
         whole = len(ids) if last else len(ids) // self.block * self.block
         for a in range(0, whole, self.block):
             raw = pack(ids[a : min(a + self.block, whole)], self.bits)
-            self.packed.append(raw)
+            self.f.write(raw)
             self.offsets.append(self.offsets[-1] + len(raw))
         self.rest, self.waiting = [ids[whole:]], len(ids) - whole
 
-    def write(self, uri: str) -> int:
-        """Write under a name of this attempt, then rename: a repeated task leaves the same file."""
-        import uuid
-
+    def close(self) -> int:
         self._flush(True)
-        fs, path = C.open_fs(uri)
-        fs.create_dir(path.rpartition("/")[0], recursive=True)
-        part = f"{path}.{uuid.uuid4().hex}.part"
-        with fs.open_output_stream(part) as f:
-            f.write(HEAD.pack(MAGIC, self.bits, self.block, self.n, len(self.ends)))
-            f.write(np.asarray(self.offsets, "<u8").tobytes())
-            f.write(np.asarray(self.ends, "<u8").tobytes())
-            f.write(np.asarray(self.doc_ids, "<i8").tobytes())
-            f.write(np.asarray(self.nulls, np.uint8).tobytes())
-            for raw in self.packed:
-                f.write(raw)
-        fs.move(part, path)
+        for values, kind in ((self.offsets, "<u8"), (self.ends, "<u8"), (self.doc_ids, "<i8"), (self.nulls, "u1")):
+            self.f.write(np.asarray(values, kind).tobytes())
+        self.f.write(TAIL.pack(self.bits, self.block, self.n, len(self.ends), len(MAGIC) + self.offsets[-1], MAGIC))
+        self.f.close()
+        self.fs.move(self.part, self.path)
         return self.n
 
 
@@ -108,10 +114,10 @@ class ShardReader:
     def __init__(self, uri: str):
         fs, path = C.open_fs(uri)
         self.f = fs.open_input_file(path)
-        magic, self.bits, self.block, self.n, docs = HEAD.unpack(self.f.read_at(HEAD.size, 0))
+        self.bits, self.block, self.n, docs, at, magic = TAIL.unpack(self.f.read_at(TAIL.size, self.f.size() - TAIL.size))
         if magic != MAGIC:
             raise ValueError(f"{uri} is no token shard")
-        at, blocks = HEAD.size, -(-self.n // self.block)
+        self.base, blocks = len(MAGIC), -(-self.n // self.block)
 
         def column(kind: str, n: int) -> np.ndarray:
             nonlocal at
@@ -122,7 +128,6 @@ class ShardReader:
         self.offsets = column("<u8", blocks + 1).astype(np.int64)
         self.ends = column("<u8", docs).astype(np.int64)
         self.doc_ids, self.nulls = column("<i8", docs), column("u1", docs)
-        self.base = at
 
     def ids(self, a: int, b: int) -> np.ndarray:
         if b <= a:
@@ -154,7 +159,9 @@ class WordEncoder:
 
     The byte-level pattern never joins a space that precedes a non-space with what stands
     before it, so a text may be cut there and the pieces encoded on their own. Pieces are
-    remembered as packed ids.
+    remembered as packed ids. New pieces are encoded many to a line: each but the first begins with a token
+    that holds its space, which no other token of a piece can; where the count of those is not the count of
+    pieces, each piece is encoded alone. Text that spells a special token is encoded as text.
     """
 
     def __init__(self, path: str):
@@ -169,21 +176,38 @@ class WordEncoder:
         self.kind = "<u2" if self.size <= 1 << 16 else "<u4"
         self.known: dict[str, bytes] = {}  # pieces that follow a space, without it
         self.heads: dict[str, bytes] = {}  # first pieces
-
-    def _learn(self, home: dict[str, bytes], wanted: set[str], before: str) -> None:
-        wanted.difference_update(home)
-        # letters with a full stop or comma after them: two tokens of the pattern, encoded apart
-        ended = [w for w in wanted if w[-1:] in _ENDS and w[:-1].isalpha()] if home is self.known else []
-        if ended:
-            self._learn(self.heads, set(_ENDS), "")
-            wanted.difference_update(ended)
-            wanted.update(w[:-1] for w in ended if w[:-1] not in home)
-        if wanted:
-            new = list(wanted)
-            for w, e in zip(new, self.t.encode_batch_fast([before + w for w in new], add_special_tokens=False), strict=True):
-                home[w] = np.asarray(e.ids, self.kind).tobytes()
-        for w in ended:
-            home[w] = home[w[:-1]] + self.heads[w[-1]]
+        self.begins = np.zeros(self.size, bool)  # tokens that begin with a space
+        for token, i in self.t.get_vocab().items():
+            self.begins[i] = token.startswith(_SPACE)
+
+    def _ids(self, texts: list[str]) -> tuple[np.ndarray, list[int]]:
+        """All ids of ``texts``, and how many each has."""
+        each = [e.ids for e in self.t.encode_batch_fast(texts, add_special_tokens=False)]
+        return np.fromiter(chain.from_iterable(each), self.kind), [len(x) for x in each]
+
+    def _learn(self, home: dict[str, bytes], new: list[str], before: str) -> None:
+        ids, counts = self._ids([before + w for w in new])
+        raw, width = ids.tobytes(), ids.itemsize
+        ends = np.cumsum(counts) * width if counts else []
+        a = 0
+        for w, b in zip(new, map(int, ends), strict=True):
+            home[w] = raw[a:b]
+            a = b
+
+    def _learn_joined(self, new: list[str]) -> None:
+        """As ``_learn(self.known, new, " ")`` of pieces that begin with no white space."""
+        groups = [new[i : i + _TOGETHER] for i in range(0, len(new), _TOGETHER)]
+        ids, counts = self._ids([" " + " ".join(g) for g in groups])
+        at, home, width = 0, self.known, ids.itemsize
+        for g, n in zip(groups, counts, strict=True):
+            own = ids[at : at + n]
+            at += n
+            starts = np.flatnonzero(self.begins[own])
+            if len(starts) != len(g) or starts[0]:
+                self._learn(home, g, " ")
+                continue
+            raw, cuts = own.tobytes(), [*(starts * width).tolist(), n * width]
+            home.update(zip(g, [raw[i:j] for i, j in zip(cuts, cuts[1:])], strict=True))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Packed ids (``kind``) of every text."""
@@ -192,12 +216,14 @@ class WordEncoder:
                 home.clear()
         cut = [_CUT.split(t) if _ODD.search(t) else t.split(" ") for t in texts]
         first = [c[0] for c in cut]
-        wanted: set[str] = set()
         for c in cut:
             del c[0]
-            wanted.update(c)
-        self._learn(self.known, wanted, " ")
-        self._learn(self.heads, set(first), "")
+        new = set(chain.from_iterable(cut)).difference(self.known)
+        alone = [w for w in new if not w or w[0].isspace()]
+        new.difference_update(alone)
+        self._learn(self.known, alone, " ")
+        self._learn_joined(list(new))
+        self._learn(self.heads, list(set(first).difference(self.heads)), "")
         get, head = self.known.__getitem__, self.heads.__getitem__
         return [head(f) + b"".join(map(get, c)) for f, c in zip(first, cut, strict=True)]
 
@@ -218,46 +244,43 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int, out: str, shards:
     """
     spark = docs.sparkSession
     C.ship(spark)
-    n = shards or C.parts_for(spark)
+    n = shards or max(C.parts_for(spark), docs.rdd.getNumPartitions())  # as many as the scan has at least: they grow with the data
     cuts = C.id_ranges(docs, "doc_id", n)
 
     def encode(it):
         enc = _encoder(tokenizer)
         end = np.asarray([end_id], enc.kind).tobytes()
         for b in it:
-            ids = [x + end for texts in C.text_slices(b.column(1)) for x in enc.encode(texts)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
+            for lo, hi in C.runs_of_docs(C.utf8(b.column(1))[1], _TEXT_BYTES):
+                ids = [x + end for x in enc.encode([t or "" for t in b.column(1)[lo:hi].to_pylist()])]
+                yield pa.RecordBatch.from_arrays([b.column(0)[lo:hi], pa.array(ids, pa.binary())], names=["doc_id", "ids"])
 
     packed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    packed = packed.mapInArrow(encode, "doc_id long, ids binary").withColumn("shard", C.range_of("doc_id", cuts))
+    packed = packed.mapInArrow(C.light(encode), "doc_id long, ids binary").withColumn("shard", C.range_of("doc_id", cuts))
     packed = packed.repartition(len(cuts) + 1, "shard").sortWithinPartitions("shard", "doc_id", F.crc32("ids"))
 
     def write(it):
         enc = _encoder(tokenizer)
-        bits, now, w = bits_for(max(enc.size, end_id + 1)), None, None
-
-        def close():
-            uri = f"{out}/shard-{now:06d}.bin"
-            return (now, uri, len(w.ends), w.write(uri))
-
-        done = []
+        bits, now, w, done = bits_for(max(enc.size, end_id + 1)), None, None, []
+        uri = lambda: f"{out}/shard-{now:06d}.bin"
         for b in it:
             shard = b.column(2).to_pylist()
             for i, (d, raw) in enumerate(zip(b.column(0).to_pylist(), b.column(1), strict=True)):
                 if shard[i] != now:
                     if w is not None:
-                        done.append(close())
-                    now, w = shard[i], ShardWriter(bits)
+                        done.append((now, uri(), len(w.ends), w.close()))
+                    now = shard[i]
+                    w = ShardWriter(uri(), bits)
                 w.add(d, np.frombuffer(raw.as_buffer(), enc.kind))
         if w is not None:
-            done.append(close())
+            done.append((now, uri(), len(w.ends), w.close()))
         if done:
             yield pa.RecordBatch.from_arrays(
                 [pa.array(list(c), t) for c, t in zip(zip(*done, strict=True), (pa.int32(), pa.string(), pa.int64(), pa.int64()), strict=True)],
                 names=["shard", "path", "docs", "tokens"],
             )
 
-    files = packed.mapInArrow(write, "shard int, path string, docs long, tokens long").collect()  # a row a file
+    files = packed.mapInArrow(write, "shard int, path string, docs long, tokens long").collect()  # a row a shard file
     start, rows = 0, []
     for f in sorted(files, key=lambda f: f.shard):
         rows.append((f.shard, f.path, f.docs, f.tokens, start))
