@@ -9,8 +9,8 @@ Cases: sources absent from ``weights`` get ``default_weight`` each; a null sourc
 its own; null and empty texts count one character, so that they too have a rate; a null doc_id hashes as
 an empty string; repeated rows get equal counts; a rate of 0 keeps no copy, as asked; rates are capped nowhere (a
 mean above ``EXACT`` is split into equal parts whose counts are added, which is the same
-distribution); an empty table gives an empty one. Columns of the input stay, a clash with
-``copy``, ``rate`` or ``shuffle_key`` is resolved in favour of the operator's own.
+distribution); an empty table gives an empty one. Columns of the input stay; one called as one of the
+operator's three own (``own``, by default rate, copy, shuffle_key) gives way to it.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from groveline.llm.common import save
+from groveline.llm.common import field, free, save
 
 #: Means up to this are inverted directly.
 EXACT = 16.0
@@ -49,10 +49,10 @@ def poisson_quantile(u: Column, mean: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.lit(most)), start, step, lambda s: s["k"])
 
 
-def _count(key: Column, seed: str) -> Column:
-    parts = F.greatest(F.lit(1), F.ceil(F.col("rate") / EXACT)).cast("int")
-    one = F.col("rate") / parts
-    return F.when(F.col("rate") <= 0, F.lit(0)).otherwise(
+def _count(key: Column, rate: Column, seed: str) -> Column:
+    parts = F.greatest(F.lit(1), F.ceil(rate / EXACT)).cast("int")
+    one = rate / parts
+    return F.when(rate <= 0, F.lit(0)).otherwise(
         F.aggregate(
             F.sequence(F.lit(1), parts),
             F.lit(0),
@@ -79,24 +79,23 @@ def _source() -> Column:
 
 
 def mix(
-    docs: DataFrame, weights: dict[str, float], default_weight: float = 1.0, repeat: float = 1.0, seed: str = "mix"
+    docs: DataFrame, weights: dict[str, float], default_weight: float = 1.0, repeat: float = 1.0, seed: str = "mix", own: tuple[str, str, str] = ("rate", "copy", "shuffle_key")
 ) -> DataFrame:
-    """``docs`` with columns rate, copy (from 1) and shuffle_key, a row a copy, ordered by shuffle_key."""
-    docs = docs.drop("copy", "rate", "shuffle_key")
+    """``docs`` with columns rate, copy (from 1) and shuffle_key, named as in ``own``; a row a copy, ordered by shuffle_key."""
+    rate, copy, shuffle_key = own
+    docs = docs.drop(*own)
     names = docs.columns
+    source, salt, times = free([*names, *own], "source_key", "salt", "times")
     r, n = rates(docs, weights, default_weight, repeat)
-    keyed = docs.withColumn("source_key", _source())
+    r = r.select(F.col("source_key").alias(source), F.col("rate").alias(rate))
+    keyed = docs.withColumn(source, _source())
     key = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
     if n <= BROADCAST_SOURCES:
-        joined = keyed.join(F.broadcast(r), "source_key")
+        joined = keyed.join(F.broadcast(r), source)
     else:
-        salted = r.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        joined = keyed.withColumn("salt", F.pmod(F.xxhash64(key), F.lit(SALTS)).cast("int")).join(salted, ["source_key", "salt"])
-    counted = joined.withColumn("_copies", _count(key, seed)).where("_copies > 0")
-    copies = counted.select(*[_col(c) for c in names], "rate", F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias("copy"))
-    order = F.md5(F.concat_ws("|", F.lit(seed + "/order"), key, F.col("copy").cast("string")))
-    return copies.withColumn("shuffle_key", order).orderBy("shuffle_key", "doc_id", "copy")
-
-
-def _col(name: str) -> Column:
-    return F.col("`" + name.replace("`", "``") + "`")
+        salted = r.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        joined = keyed.withColumn(salt, F.pmod(F.xxhash64(key), F.lit(SALTS)).cast("int")).join(salted, [source, salt])
+    counted = joined.withColumn(times, _count(key, F.col(rate), seed)).where(F.col(times) > 0)
+    copies = counted.select(*[F.col(field(c)) for c in names], rate, F.explode(F.sequence(F.lit(1), F.col(times))).alias(copy))
+    order = F.md5(F.concat_ws("|", F.lit(seed + "/order"), key, F.col(copy).cast("string")))
+    return copies.withColumn(shuffle_key, order).orderBy(shuffle_key, "doc_id", copy)
