@@ -35,36 +35,51 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that match an earlier line go; n_chars follows. A document that loses its last word goes."""
+    """Lines that match an earlier line go; n_chars follows. A document that loses its last word goes.
+
+    Null, empty and blank texts stay as they are, and so do further columns.
+    """
     out = line_dedup.dedup_lines(docs, LINE_PCT, drop_emptied=True)
     n = F.coalesce(F.length("text"), F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
     return out.withColumn("n_chars", n)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates, that with the smallest doc_id."""
+    """One document of each group of near duplicates, that with the smallest doc_id.
+
+    Texts without words and rows without doc_id all stay; of repeated rows (equal doc_id and text) one stays.
+    """
     return near_dup.dedup(docs, SHINGLE_WORDS, SIMILARITY_PCT)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document as often as its source's target share asks, in one global random order."""
-    return mixing.mix(docs, SOURCE_WEIGHTS, OTHER_SOURCES).select(*[C.field(c) for c in docs.columns])
+    """Every document as often as its source's target share asks, in one global random order.
+
+    A null source is a source of its own; an empty text counts one character; all columns stay, a row a copy.
+    """
+    own = C.free(docs.columns, "rate", "copy", "shuffle_key")
+    return mixing.mix(docs, SOURCE_WEIGHTS, OTHER_SOURCES, own=tuple(own)).select(*[C.field(c) for c in docs.columns])
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sequences of the mixed documents with their bucket, batch and slot."""
+    """Sequences of the mixed documents with their bucket, batch and slot.
+
+    Lengths and the budget are counted in words between white space. Texts without words make no sequence;
+    columns other than doc_id and text are not used.
+    """
     return packing.pack(docs, PACK_LENGTH, PACK_BUCKETS, PACK_BUDGET)
 
 
 STAGES = [("quality", quality), ("lines", lines), ("near_duplicates", near_duplicates), ("mix", mix), ("pack", pack)]
 
-#: The first stage is a fitted model, which SQL can't express; tests check that it runs and that its ids are among the input's.
+#: The first stage is a fitted model, which SQL can't express; tests hold the other four against a brute-force version, row by row.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each written to the shared folder and read again."""
+    """All stages over ``documents``, each written to the shared folder and read again. An empty table gives an empty result."""
     docs = C.documents(spark, sf_dir)
     for name, stage in STAGES[:-1]:
-        docs = C.save(stage(spark, docs, sf_dir), f"pipeline_{name}")
+        before, docs = docs, C.save(stage(spark, docs, sf_dir), f"pipeline_{name}")
+        C.drop(before)  # the stage is done; ``documents`` itself is no table of ours
     return STAGES[-1][1](spark, docs, sf_dir)
