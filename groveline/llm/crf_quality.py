@@ -148,7 +148,10 @@ def marginals(doc: np.ndarray, score: np.ndarray, trans: np.ndarray, allow: np.n
 def fit(texts: list[str], labels: np.ndarray, steps: int = 100, l2: float = 1e-3) -> dict:
     """Weights of the field: gradient ascent (Adam) on the labelled documents' likelihood."""
     data, off = C.utf8(pa.array(texts, pa.large_string()))
-    doc, size, x = line_features(data, off)
+    # block by block, so that the driver holds features and no arrays by byte of all texts
+    parts = [(a, *line_features(data[off[a] : off[b]], off[a : b + 1] - off[a])) for a, b in C.runs_of_docs(off)]
+    doc, size, x = np.concatenate([d + a for a, d, _, _ in parts]), np.concatenate([s for _, _, s, _ in parts]), np.concatenate([v for *_, v in parts])
+    del parts
     z = with_neighbours(doc, x)
     mean, dev = z.mean(0), z.std(0) + 1e-6
     mean[0], dev[0] = 0, 1
@@ -221,7 +224,9 @@ def train(docs: DataFrame, labels: DataFrame, column: str, held_out, rows: int =
     y, texts = C.labelled_sample(docs, labels, column, held_out, rows, FIT_CHARS)
     if not len(y) or y.min() == y.max():
         return {"prior": float(y.mean()) if len(y) else 0.5}
-    return fit(texts, y)
+    model = fit(texts, y)
+    C.release_memory()
+    return model
 
 
 def quality(docs: DataFrame, model: dict) -> DataFrame:
