@@ -2,8 +2,10 @@
 
 Features are the distinct words of a text and their first 4, 5 and 6 bytes (inflected forms share
 them), kept where they tell the classes apart in the fit sample, plus all identity terms. Labelled
-sentences that hold an identity term are copied with the term swapped for others of its group, and
-the squared change of the score is added to the loss, so that naming a group does not move it.
+sentences that hold an identity term are copied with the term swapped for each other one of its group, and
+the squared change of the score is added to the loss, so that naming a group does not move it. Where no
+labelled sentence names a group there is nothing to swap and the fit is plain logistic regression;
+``pairs`` of the model says how many copies it had.
 
 The fit reads a bounded sample of labelled rows (``FIT_ROWS``); scoring covers whole texts of all
 rows and keeps nothing between rows.
@@ -74,17 +76,16 @@ def _sentences(text: str) -> list[str]:
     return re.split(r"(?<=[.!?])\s+|\n", text)
 
 
-def swaps(text: str) -> list[str]:
-    """The text with the identity terms of its sentences moved on by one in their group; empty if it names none."""
+def swaps(text: str) -> list[tuple[str, str]]:
+    """Each sentence that names an identity term, with a copy for every other term of the group in that place."""
     import re
 
-    turn = {g[i]: g[(i + 1) % len(g)] for g in IDENTITY_GROUPS for i in range(len(g))}
-    hit, out = False, []
+    others = {t: [o for o in g if o != t] for g in IDENTITY_GROUPS for t in g}
+    out = []
     for s in _sentences(text):
-        new = re.sub(r"[^\W\d_]+", lambda m: turn.get(m[0].lower(), m[0]), s)
-        hit |= new != s
-        out.append(new)
-    return [" ".join(out)] if hit else []
+        for m in re.finditer(r"[^\W\d_]+", s):
+            out += [(s, s[: m.start()] + o + s[m.end() :]) for o in others.get(m[0].lower(), ())]
+    return out
 
 
 def fit(texts: list[str], labels: np.ndarray, penalty: float = 10.0, steps: int = 300, l2: float = 2e-4) -> dict:
@@ -110,7 +111,7 @@ def fit(texts: list[str], labels: np.ndarray, penalty: float = 10.0, steps: int
     r, f = rows[ok], at[ok]
 
     # counterfactual differences: sparse rows of phi(swapped) - phi(text)
-    pairs = [(t, s) for t in texts for s in swaps(t)]
+    pairs = [p for t in texts for p in swaps(t)]
     dr, df, dv = np.zeros(0, int), np.zeros(0, int), np.zeros(0)
     for sign, side in ((-1.0, [a for a, _ in pairs]), (1.0, [b for _, b in pairs])):
         if side:
@@ -137,7 +138,7 @@ def fit(texts: list[str], labels: np.ndarray, penalty: float = 10.0, steps: int
         step = 0.05 * (m1 / (1 - 0.9**k)) / (np.sqrt(m2 / (1 - 0.99**k)) + 1e-8)
         w -= step[:-1]
         bias -= step[-1]
-    return {"vocabulary": vocabulary, "w": w, "bias": bias}
+    return {"vocabulary": vocabulary, "w": w, "bias": bias, "pairs": len(pairs)}
 
 
 def score_texts(model: dict, col) -> np.ndarray:
@@ -164,7 +165,9 @@ def train(docs: DataFrame, labels: DataFrame, column: str, held_out, rows: int =
     if not len(y) or y.min() == y.max():
         rate = min(max(float(y.mean()) if len(y) else 0.5, 1e-6), 1 - 1e-6)
         return {"bias": float(np.log(rate / (1 - rate)))}
-    return fit(texts, y)
+    model = fit(texts, y)
+    C.release_memory()
+    return model
 
 
 def toxicity(docs: DataFrame, model: dict) -> DataFrame:
