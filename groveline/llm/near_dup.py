@@ -80,25 +80,21 @@ def sketches(docs: DataFrame, width: int) -> DataFrame:
     def run(it):
         for b in it:
             data, off = C.utf8(b.column(1))
-            n_all, cls, sk = [], [], []
             for lo, hi in C.runs_of_docs(off):
                 rows, h = shingles(data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo], width)
                 n = np.bincount(rows, minlength=hi - lo)
                 at = np.concatenate([[0], np.cumsum(n)])
                 mixed = np.zeros(len(h) + 1, np.uint64)
                 np.cumsum(C.mix(h + np.uint64(0x5851F42D4C957F2D)), out=mixed[1:])
-                sums = (mixed[at[1:]] - mixed[at[:-1]]).view(np.int64)
-                signed = h.view(np.int64)
-                n_all += n.tolist()
-                cls += [int(s) if m else None for s, m in zip(sums, n, strict=True)]
-                sk += [signed[at[i] : min(at[i] + SKETCH, at[i + 1])] for i in range(hi - lo)]
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(2), pa.array(n_all, pa.int64()), pa.array(cls, pa.int64()), pa.array(sk, pa.list_(pa.int64()))],
-                names=["doc_id", "th", "n", "cls", "sketch"],
-            )
+                cls = (mixed[at[1:]] - mixed[at[:-1]]).view(np.int64)
+                kept = np.minimum(n, SKETCH)
+                first = np.arange(len(h)) - np.repeat(at[:-1], n) < SKETCH  # values are sorted in each row
+                sketch = C.lists(np.concatenate([[0], np.cumsum(kept)]), h[first].view(np.int64))
+                cols = [b.column(0)[lo:hi], b.column(2)[lo:hi], pa.array(n, pa.int64()), pa.array(cls, mask=n == 0), sketch]
+                yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "th", "n", "cls", "sketch"])
 
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), _text_hash().alias("th"))
-    return text.mapInArrow(run, "doc_id long, th long, n long, cls long, sketch array<long>")
+    return text.mapInArrow(C.light(run), "doc_id long, th long, n long, cls long, sketch array<long>")
 
 
 def _text_hash():
@@ -154,12 +150,19 @@ def _pivot_pairs(p: DataFrame, turn: int, share_pct: int) -> DataFrame:
 
 
 def _open_pairs(p: DataFrame, comp: DataFrame, share_pct: int) -> DataFrame:
-    """All pairs of a list whose members aren't in one component yet and pass the filters."""
+    """All pairs of a list whose members aren't in one component yet and pass the filters.
+
+    A pair is made in the first list, in the order of rarity, that holds both: each member carries the
+    values of its earlier open lists, at most a sketch's rare part. A closed list can't hold a pair
+    of two components, and filters that a later value passes are passed by an earlier one.
+    """
     c = _with_component(p, comp)
     left = c.groupBy("value").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 < c1").select("value")
-    c = c.join(left, "value")
-    x, y = _sides(c, "a", F.col("c").alias("ca")), _sides(c, "b", F.col("c").alias("cb"))
-    return x.join(y, (x["value"] == y["value"]) & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & _may_link(share_pct)).select("a", "b", "na", "nb").distinct()
+    before = Window.partitionBy("cls").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    c = c.join(left, "value").withColumn("before", F.collect_list("value").over(before))
+    x, y = _sides(c, "a", F.col("c").alias("ca"), F.col("before").alias("ba")), _sides(c, "b", F.col("c").alias("cb"), F.col("before").alias("bb"))
+    new = (x["value"] == y["value"]) & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & _may_link(share_pct) & ~F.arrays_overlap("ba", "bb")
+    return x.join(y, new).select("a", "b", "na", "nb").distinct()
 
 
 def _with_component(p: DataFrame, comp: DataFrame | None) -> DataFrame:
@@ -193,7 +196,7 @@ def _estimated(pairs: DataFrame, classes: DataFrame, share: float) -> DataFrame:
             if keep.any():
                 yield pa.RecordBatch.from_arrays(b.columns[:4], names=["a", "b", "doc_a", "doc_b"]).filter(pa.array(keep))
 
-    return joined.mapInArrow(run, "a long, b long, doc_a long, doc_b long")
+    return joined.mapInArrow(C.light(run), "a long, b long, doc_a long, doc_b long")
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, width: int, share_pct: int) -> DataFrame:
@@ -233,19 +236,25 @@ def _verified(pairs: DataFrame, docs: DataFrame, width: int, share_pct: int) ->
                     out[1].append(b)
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], names=["a", "b"])
 
-    return joined.mapInArrow(run, "a long, b long").distinct()
+    return joined.mapInArrow(C.light(run), "a long, b long").distinct()
 
 
 def _judged(docs: DataFrame, width: int, share_pct: int) -> DataFrame:
     """doc_id, th, n_shingles, component_id, kept: a row a document."""
-    C.ship(docs.sparkSession)
+    spark = docs.sparkSession
+    C.ship(spark)
     share = share_pct / 100
     all_ = C.save(sketches(docs, width), "sketches")
     classes = all_.where("cls IS NOT NULL AND doc_id IS NOT NULL").groupBy("cls").agg(F.min(F.struct("doc_id", "n", "sketch")).alias("s"))
     classes = C.save(classes.select("cls", F.col("s.doc_id").alias("first_doc"), F.col("s.n").alias("n"), F.col("s.sketch").alias("sketch")), "classes")
+    rows = C.save(all_.drop("sketch"), "sets")
+    C.drop(all_)
+    C.settle(spark)
     p = C.save(_postings(classes, share), "postings")
+    C.settle(spark)
 
     links = tested = comp = None
+    spent = []
     for turn in range(ROUNDS + 1):
         if turn < ROUNDS:
             now = p
@@ -261,21 +270,29 @@ def _judged(docs: DataFrame, width: int, share_pct: int) -> DataFrame:
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = C.save(pairs, "pairs")
+        spent.append(pairs)
+        if comp is None:
+            comp = C.save(p.select(F.col("cls").alias("node"), F.col("cls").alias("component")).limit(0), "components")
         if pairs.isEmpty():
-            if comp is None:
-                comp = C.save(p.select(F.col("cls").alias("node"), F.col("cls").alias("component")).limit(0), "components")
             continue
         tested = pairs.select("a", "b") if tested is None else tested.union(pairs.select("a", "b"))
-        found = C.save(_verified(C.save(_estimated(pairs, classes, share), "estimated"), docs, width, share_pct), "links")
-        links = found if links is None else links.union(found)
-        comp = C.components(links, "a", "b")
-
-    first = classes.select("cls", "first_doc")
-    grouped = first.join(comp.select(F.col("node").alias("cls"), "component"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
+        likely = C.save(_estimated(pairs, classes, share), "estimated")
+        found = C.save(_verified(likely, docs, width, share_pct), "links")
+        C.drop(likely)
+        spent.append(found)
+        if not found.isEmpty():
+            links = found if links is None else links.union(found)
+            spent.append(comp)
+            comp = C.components(links, "a", "b")
+        C.settle(spark)
+
+    grouped = classes.select("cls", "first_doc").join(comp.select(F.col("node").alias("cls"), "component"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
     names = grouped.groupBy("component").agg(F.min("first_doc").alias("component_id"))
-    by_class = grouped.join(names, "component").select("cls", "component_id")
-    rows = all_.select("doc_id", "th", F.col("n").alias("n_shingles"), "cls").join(by_class, "cls", "left")
+    by_class = C.save(grouped.join(names, "component").select("cls", "component_id"), "class_components")
+    for t in (*spent, p, classes, comp):
+        C.drop(t)
     out = F.when(F.col("doc_id").isNull(), None).otherwise(F.coalesce("component_id", "doc_id"))
+    rows = rows.select("doc_id", "th", F.col("n").alias("n_shingles"), "cls").join(by_class, "cls", "left")
     return rows.select("doc_id", "th", "n_shingles", out.alias("component_id"), F.coalesce(F.col("doc_id") == out, F.lit(True)).alias("kept"))
 
 
@@ -290,13 +307,13 @@ def dedup(docs: DataFrame, width: int = 5, share_pct: int = 80) -> DataFrame:
     Rows without shingles or doc_id all stay; of repeated rows (equal doc_id and text) one stays.
     """
     names = [C.field(c) for c in docs.columns]
-    gone = C.save(_judged(docs, width, share_pct).where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("doc_id", "th").agg(F.bool_or("kept").alias("kept"), F.count("*").alias("n")), "judged")
-    d, th = F.col("doc_id").cast("long"), _text_hash()
-    marked = docs.withColumns({"_d": d, "_th": th})
-    gone = gone.where("NOT kept OR n > 1").select(F.col("doc_id").alias("_d"), F.col("th").alias("_th"), F.when(F.col("kept"), F.lit("repeated")).otherwise("gone").alias("_fate"))
-    marked = C.save(marked.join(gone, ["_d", "_th"], "left").where("_fate IS NULL OR _fate <> 'gone'"), "survivors")
-    once = marked.where("_fate IS NOT NULL").dropDuplicates(["_d", "_th"])
-    return marked.where("_fate IS NULL").select(*names).unionByName(once.select(*names))
+    d, th, fate = C.free(docs.columns, "d", "th", "fate")
+    judged = _judged(docs, width, share_pct).where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("doc_id", "th").agg(F.bool_or("kept").alias("kept"), F.count("*").alias("n"))
+    gone = C.save(judged.where("NOT kept OR n > 1").select(F.col("doc_id").alias(d), F.col("th").alias(th), F.when(F.col("kept"), F.lit("repeated")).otherwise("gone").alias(fate)), "judged")
+    marked = docs.select("*", F.col("doc_id").cast("long").alias(d), _text_hash().alias(th))
+    marked = C.save(marked.join(gone, [d, th], "left").where(F.col(fate).isNull() | (F.col(fate) != "gone")), "survivors")
+    once = marked.where(F.col(fate).isNotNull()).dropDuplicates([d, th])
+    return marked.where(F.col(fate).isNull()).select(*names).unionByName(once.select(*names))
 
 
 ORACLE = """
