@@ -63,13 +63,12 @@ def shared_weights(ents: DataFrame, weights: DataFrame, key: str = "doc_id") ->
     return x.join(y, "entity").where("a < b").groupBy("a", "b").agg(F.sum("idf").alias("weight"))
 
 
-WORD = r"[a-z0-9_]{3,}"  # of the SQL, on masked text
-ANY_WORD = r"[\p{L}\p{N}_]{3,}"  # what Python's \b\w{3,}\b takes
+WORD = r"[\p{L}\p{N}_]{3,}"  # words of any script
 
 
 def keyword_overlap(queries: DataFrame, texts: DataFrame, query: str = "item_id", key: str = "doc_id") -> DataFrame:
     """query, key, score: the share of a query's distinct words of 3 or more characters that a text holds; pairs that share none are left out."""
-    of = lambda df, k: df.select(k, F.array_distinct(T.matches(F.lower(F.coalesce("text", F.lit(""))), ANY_WORD)).alias("ws"))
+    of = lambda df, k: df.select(k, F.array_distinct(T.matches(F.lower(F.coalesce("text", F.lit(""))), WORD)).alias("ws"))
     q = of(queries, query).select(query, F.size("ws").alias("n"), F.explode("ws").alias("w"))
     t = of(texts, key).select(key, F.explode("ws").alias("w"))
     return t.join(q, "w").groupBy(query, key, "n").agg(F.count("*").alias("c")).select(query, key, F.round(F.col("c") / F.col("n"), 6).alias("score"))

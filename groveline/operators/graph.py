@@ -75,10 +75,10 @@ def passage_graph(*edges: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, parts).groupBy("a", "b").agg(F.sum("weight").alias("weight"))
 
 
-def similarity_graph(tree: DataFrame, least: float) -> DataFrame:
-    """src, dst, score: the pairs of tree nodes of any level with a cosine of ``least`` or more."""
+def similarity_graph(tree: DataFrame, above: float) -> DataFrame:
+    """src, dst, score: the pairs of tree nodes of any level with a cosine above ``above``."""
     n = save(tree.select(F.xxhash64("node_id").alias("id"), "node_id", "v"), "tree")
-    e = S.neighbours(n.select("id", "v"), None, least)
+    e = S.neighbours(n.select("id", "v"), None, above=above)
     name = lambda c, to: n.select(F.col("id").alias(c), F.col("node_id").alias(to))
     return e.join(name("id", "src"), "id").join(name("other", "dst"), "other").select("src", "dst", "score")
 

@@ -35,22 +35,26 @@ def _blocked(df: DataFrame, run, schema: str, rows: int) -> DataFrame:
     return left.cogroup(right).applyInArrow(lambda a, b: run(a, b), schema)
 
 
-def neighbours(df: DataFrame, top: int | None, least: float | None = None, other_group: bool = False, rows: int = BLOCK_ROWS) -> DataFrame:
+def neighbours(df: DataFrame, top: int | None, least: float | None = None, other_group: bool = False, above: float | None = None, rows: int = BLOCK_ROWS) -> DataFrame:
     """id, other, score (6 digits), rank: each row's nearest others, ties to the smaller id.
 
-    ``df`` has id, unit vectors v and, for ``other_group``, a column g that must differ.
+    ``df`` has id, unit vectors v and, for ``other_group``, a column g that must differ. ``least`` bounds the
+    rounded score, ``above`` the unrounded one.
     """
 
     def run(a: pa.Table, b: pa.Table) -> pa.Table:
         out = ([], [], [])
         if a.num_rows and b.num_rows:
-            s = np.round(_matrix(a) @ _matrix(b).T, 6)
+            raw = _matrix(a) @ _matrix(b).T
+            s = np.round(raw, 6)
             ia, ib = a["id"].to_numpy(), b["id"].to_numpy()
             ok = ia[:, None] != ib[None]
             if other_group:
                 ok &= a["g"].to_numpy()[:, None] != b["g"].to_numpy()[None]
             if least is not None:
                 ok &= s >= least
+            if above is not None:
+                ok &= raw > above
             for i in range(len(ia)):
                 at = np.flatnonzero(ok[i])
                 if top is not None and len(at) > top:

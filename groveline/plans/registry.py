@@ -22,6 +22,11 @@ def query(name: str, sql: str | None = None):
     return wrap
 
 
+def own_sql() -> dict[str, str]:
+    """The SQL registered so far, for queries built from others."""
+    return _ORACLE
+
+
 def _load() -> None:
     from groveline.plans import catalogue  # noqa: F401
 

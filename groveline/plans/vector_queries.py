@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from groveline.functions import vectors as V
 from groveline.operators import graph as G
 from groveline.operators import similarity as S
+from groveline.plans import registry
 from groveline.plans.registry import query
 
 
@@ -213,10 +214,13 @@ def g11(spark, sf):
     return G.transition(G.mirrored(_passages(spark, sf))).select("src", "dst", F.round("p", 6).alias("p"))
 
 
-@query("g12_similarity_graph", f"WITH {PAIRS} SELECT id AS src, other AS dst, score FROM p WHERE score > 0.3")
+_TREE = f"{N}{_CENT}, rx AS (SELECT i, avg(e) AS e FROM x GROUP BY i), nodes AS (SELECT 'leaf_' || vec_id AS node_id, 0 AS level, v FROM n UNION ALL SELECT 'L1_A' || label, 1, c FROM c UNION ALL SELECT 'ROOT', 2, (SELECT list(e / (SELECT sqrt(sum(e * e)) FROM rx) ORDER BY i) FROM rx))"
+
+
+@query("g12_similarity_graph", f"WITH {_TREE} SELECT a.node_id AS src, b.node_id AS dst, round(list_dot_product(a.v, b.v), 6) AS score FROM nodes a, nodes b WHERE a.node_id <> b.node_id AND list_dot_product(a.v, b.v) > 0.3")
 def g12(spark, sf):
-    """All tree nodes with a cosine above 0.3; the SQL has leaves only."""
-    return G.similarity_graph(G.label_tree(_emb(spark, sf)), 0.300001)
+    """All tree nodes with a cosine above 0.3."""
+    return G.similarity_graph(G.label_tree(_emb(spark, sf)), 0.3)
 
 
 _PPR = (
@@ -241,9 +245,9 @@ def _ppr(spark, sf, steps: int):
     return G.personalised_pagerank(G.transition(G.mirrored(_passages(spark, sf))), seeds, 0.5, steps)
 
 
-@query("g13_pagerank_steps", f"WITH {_PPR}{_ppr_sql(6)} SELECT query_id, node_id, round(m, 6) AS mass FROM r6")
+@query("g13_pagerank_steps", f"WITH {_PPR}{_ppr_sql(30)} SELECT query_id, node_id, round(m, 6) AS mass FROM r30")
 def g13(spark, sf):
-    """30 steps, as the reference; the SQL unrolls only the first 6."""
+    """30 fixed steps."""
     return _ppr(spark, sf, 30).select("query_id", "node_id", F.round("mass", 6).alias("mass"))
 
 
@@ -254,9 +258,6 @@ def r7(spark, sf):
     return m.withColumn("rank", F.row_number().over(w)).where("rank <= 5").select("query_id", "rank", "node_id", "mass")
 
 
-_TREE = f"{N}{_CENT}, rx AS (SELECT i, avg(e) AS e FROM x GROUP BY i), nodes AS (SELECT 'leaf_' || vec_id AS node_id, 0 AS level, v FROM n UNION ALL SELECT 'L1_A' || label, 1, c FROM c UNION ALL SELECT 'ROOT', 2, (SELECT list(e / (SELECT sqrt(sum(e * e)) FROM rx) ORDER BY i) FROM rx))"
-
-
 @query("c22_level_counts", "SELECT 0 AS level, count(*) AS nodes FROM embeddings UNION ALL SELECT 1, count(DISTINCT label) FROM embeddings UNION ALL SELECT 2, 1")
 def c22(spark, sf):
     return G.label_tree(_emb(spark, sf)).groupBy("level").agg(F.count("*").alias("nodes"))
@@ -288,7 +289,7 @@ def r8(spark, sf):
     return _ranked(G.beam_leaves(e, q, 3), 5).select("query_id", "rank", "node_id", "score")
 
 
-_GATE = f"{SC}{_RANK}, pool AS (SELECT * FROM r WHERE \"rank\" <= 20), gt AS (SELECT *, round(greatest(0, max(score) OVER (PARTITION BY query_id, label)) / max(score) OVER (PARTITION BY query_id), 6) AS gate, row_number() OVER (PARTITION BY query_id, label ORDER BY score DESC, node_id) AS dr FROM pool)"
+_GATE = f"{SC}, gt AS (SELECT *, round(greatest(0, max(score) OVER (PARTITION BY query_id, label)) / max(score) OVER (PARTITION BY query_id), 6) AS gate, row_number() OVER (PARTITION BY query_id, label ORDER BY score DESC, node_id) AS dr FROM s)"
 
 
 @query("r12_relevance_gate", f"WITH {_GATE} SELECT DISTINCT query_id, label, gate FROM gt")
@@ -312,9 +313,16 @@ def r4(spark, sf):
     return G.mmr(e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("v").alias("qv")), e.select(F.col("vec_id").alias("node_id"), "v"), 5, 0.7)
 
 
-@query("r24_compare_all", f"""WITH {SC}{_RANK} SELECT 'flat' AS method, query_id, "rank", node_id, score FROM r WHERE "rank" <= 5 UNION ALL SELECT 'flat_min', query_id, "rank", node_id, score FROM r WHERE "rank" <= 5 AND score >= 0.3""")
+def _r24_sql() -> str:
+    of = registry.own_sql()
+    parts = [("flat", "r1_flat_topk", "score"), ("flat_min", "r5_min_score", "score"), ("graph", "r7_graph_retrieval", "mass"), ("beam", "r8_beam_descent", "score")]
+    out = [f"SELECT '{m}' AS method, query_id, \"rank\", 'leaf_' || node_id AS node_id, {score} AS score FROM ({of[q]})" for m, q, score in parts]
+    return " UNION ALL ".join([*out, f"SELECT 'collapsed', query_id, \"rank\", node_id, score FROM ({of['r6_collapsed_tree']})"])
+
+
+@query("r24_compare_all", _r24_sql())
 def r24(spark, sf):
-    """The rankings of r1, r5, r6, r7 and r8 with tree node ids; the score of the graph is its mass. The SQL has only the first two."""
+    """The rankings of r1, r5, r6, r7 and r8 with tree node ids; the score of the graph is its mass."""
     leaf = F.concat(F.lit("leaf_"), F.col("node_id").cast("string"))
     made = {"flat": r1(spark, sf), "flat_min": r5(spark, sf), "graph": r7(spark, sf).withColumnRenamed("mass", "score"), "beam": r8(spark, sf)}
     made = {k: d.withColumn("node_id", leaf) for k, d in made.items()} | {"collapsed": r6(spark, sf)}
