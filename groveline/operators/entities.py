@@ -27,8 +27,8 @@ def midcaps(df: DataFrame, key: str = "doc_id") -> DataFrame:
     return _texts(df, key).select(F.explode(F.regexp_extract_all("t", F.lit(MIDCAP), F.lit(1))).alias("word")).select(F.lower("word").alias("word")).distinct()
 
 
-def entities(df: DataFrame, key: str = "doc_id") -> DataFrame:
-    """key, entity: distinct entities of every text.
+def entities(df: DataFrame, key: str = "doc_id", corpus: DataFrame | None = None) -> DataFrame:
+    """key, entity: distinct entities of every text. ``corpus`` (itself by default) says which words are common.
 
     Words that the corpus also writes in lower case leave a phrase; a phrase of one word must also
     stand capitalised inside a sentence somewhere.
@@ -42,8 +42,9 @@ def entities(df: DataFrame, key: str = "doc_id") -> DataFrame:
     phrase = t.select(key, F.explode(F.array_distinct(F.filter(T.matches(F.col("t"), PROPER), lambda m: m != "ASC"))).alias("phrase"))
     kinds = phrase.select("phrase").distinct()  # each phrase is judged once
     words = kinds.select("phrase", F.posexplode(T.words(F.col("phrase"))).alias("p", "w")).withColumn("word", F.lower("w"))
-    stay = words.join(common_words(df, key), "word", "left_anti")
-    mid = midcaps(df, key).withColumn("mid", F.lit(True))
+    corpus = (df if corpus is None else corpus).select("text").withColumn("any", F.lit(0))
+    stay = words.join(common_words(corpus, "any"), "word", "left_anti")
+    mid = midcaps(corpus, "any").withColumn("mid", F.lit(True))
     stay = stay.join(mid, "word", "left")
     made = stay.groupBy("phrase").agg(F.sort_array(F.collect_list(F.struct("p", "w"))).alias("ws"), F.bool_or("mid").alias("mid"))
     made = made.where((F.size(T.words(F.col("phrase"))) > 1) | F.col("mid")).select("phrase", F.lower(F.array_join(F.transform("ws", lambda x: x["w"]), " ")).alias("entity"))

@@ -72,6 +72,37 @@ def neighbours(df: DataFrame, top: int | None, least: float | None = None, other
     return got.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top)
 
 
+def nearest(queries: DataFrame, df: DataFrame, top: int, rows: int = BLOCK_ROWS) -> DataFrame:
+    """query_id, node_id, score (6 digits), rank: each query's ``top`` rows with another id, ties to the smaller id.
+
+    Blocks of queries (query_id, v) meet blocks of rows (id, v); a task keeps ``top`` a query before anything is shuffled.
+    """
+    ship(df.sparkSession)
+    q, e = save(queries.select("query_id", "v"), "queries"), save(df.select("id", "v"), "vectors")
+    many = [max(1, -(-x.count() // rows)) for x in (q, e)]
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = q.withColumn("_i", F.pmod(F.xxhash64("query_id"), F.lit(many[0])).cast("int")).withColumn("_j", every(many[1]))
+    right = e.withColumn("_j", F.pmod(F.xxhash64("id"), F.lit(many[1])).cast("int")).withColumn("_i", every(many[0]))
+
+    def run(a: pa.Table, b: pa.Table) -> pa.Table:
+        out = ([], [], [])
+        if a.num_rows and b.num_rows:
+            b = b.sort_by("id")
+            s, ids = np.round(_matrix(a) @ _matrix(b).T, 6), b["id"].to_numpy()
+            for own, x in zip(a["query_id"].to_pylist(), s, strict=True):
+                x[ids == own] = -np.inf
+                at = np.argsort(-x, kind="stable")[:top]
+                at = at[np.isfinite(x[at])]
+                for c, v in zip(out, (np.full(len(at), own), ids[at], x[at]), strict=True):
+                    c.append(v)
+        cols = [np.concatenate(c) if c else np.zeros(0) for c in out]
+        return pa.table([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.float64()), strict=True)], names=["query_id", "node_id", "score"])
+
+    got = left.groupBy("_i", "_j").cogroup(right.groupBy("_i", "_j")).applyInArrow(lambda a, b: run(a, b), "query_id long, node_id long, score double")
+    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "node_id")
+    return got.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top)
+
+
 def pair_statistics(df: DataFrame, rows: int = BLOCK_ROWS) -> DataFrame:
     """id, n, total, squares, best: sums over each row's products with all others."""
 
@@ -90,6 +121,40 @@ def pair_statistics(df: DataFrame, rows: int = BLOCK_ROWS) -> DataFrame:
     return got.groupBy("id").agg(F.sum("n").alias("n"), F.sum("total").alias("total"), F.sum("squares").alias("squares"), F.max("best").alias("best"))
 
 
+def moment_alpha(df: DataFrame, low: float = 0.35, high: float = 0.90, none: float = 0.6) -> float:
+    """As :func:`auto_alpha` of all pairs, without making any: the products' sum is |sum of v|^2 less the own products,
+    and that of their squares comes from the second moments (d x d)."""
+    ship(df.sparkSession)
+
+    def sums(it):
+        n, own, own2, s, m = 0, 0.0, 0.0, None, None
+        for b in it:
+            if not b.num_rows:
+                continue
+            if b.schema.names[0] == "v":
+                x = np.asarray(b.column(0).flatten().to_numpy(zero_copy_only=False), np.float64).reshape(b.num_rows, -1)
+                sq = (x * x).sum(1)
+                more = [(b.num_rows, sq.sum(), (sq * sq).sum(), x.sum(0), x.T @ x)]
+            else:
+                more = [(r["n"], r["own"], r["own2"], np.frombuffer(r["s"]), np.frombuffer(r["m"]).reshape(len(r["s"]) // 8, -1)) for r in b.to_pylist()]
+            for a, o, o2, s1, m1 in more:
+                n, own, own2 = n + a, own + o, own2 + o2
+                s, m = (s1, m1) if s is None else (s + s1, m + m1)
+        if n:
+            yield pa.RecordBatch.from_pylist([{"n": n, "own": own, "own2": own2, "s": s.tobytes(), "m": m.tobytes()}])
+
+    kind = "n long, own double, own2 double, s binary, m binary"
+    parts = df.select("v").mapInArrow(sums, kind).repartition(8).mapInArrow(sums, kind).collect()  # 8 rows of d x d numbers at most
+    n, own, own2 = (sum(r[c] for r in parts) for c in ("n", "own", "own2"))
+    if n < 2:
+        return none
+    s, m = sum(np.frombuffer(r["s"]) for r in parts), sum(np.frombuffer(r["m"]) for r in parts)
+    pairs = n * (n - 1)
+    mean = (float(s @ s) - own) / pairs
+    dev = max(0.0, (float(m @ m) - own2) / pairs - mean * mean) ** 0.5
+    return float(min(max(round(mean + dev, 6), low), high))
+
+
 def auto_alpha(stats: DataFrame, low: float = 0.35, high: float = 0.90, none: float = 0.6) -> float:
     """Mean plus population deviation of all products, kept in [low, high]."""
     n, s, q = stats.agg(F.sum("n"), F.sum("total"), F.sum("squares")).first()

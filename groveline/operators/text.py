@@ -17,9 +17,9 @@ HEADING_UNIT = rf"(?i)^(#+|[0-9]+\.|(?:{HEADINGS})(?:[^A-Za-z0-9_]|$))"
 SENTENCE_BREAK = r"(?U)(?<!\w\.\w.)(?<![A-Z][a-z]\.)(?<=\.|\?|\!)\s+"
 DEFAULT_SECTION = "General Overview"
 STOP_WORDS = (
-    "this that with from were have been which under across during while "
-    "their these those there into total also than such will other over each both"
-).split()
+    "this", "that", "with", "from", "were", "have", "been", "which", "under", "across", "during", "while",
+    "their", "these", "those", "there", "into", "total", "also", "than", "such", "will", "other", "over", "each", "both",
+)
 HEADING_WORDS = 15
 
 

@@ -32,6 +32,12 @@ def _scores(spark: SparkSession, sf: str) -> DataFrame:
     return e.hint("shuffle_replicate_nl").join(q, F.col("query_id") != F.col("vec_id")).select("query_id", F.col("vec_id").alias("node_id"), "label", F.round(V.dot(F.col("qv"), F.col("v")), 6).alias("score"))
 
 
+def _nearest(spark: SparkSession, sf: str, k: int) -> DataFrame:
+    """The ``k`` best of :func:`_scores` with their rank, by products of blocks."""
+    e = _emb(spark, sf).select(F.col("vec_id").cast("long").alias("id"), "v")
+    return S.nearest(e.where("id % 100 = 0").withColumnRenamed("id", "query_id"), e, k)
+
+
 N = "n AS (SELECT vec_id, label, list_transform(embedding::DOUBLE[], lambda x: x / sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]))) v FROM embeddings)"
 SC = N + ", s AS (SELECT q.vec_id query_id, d.vec_id node_id, d.label, round(list_dot_product(q.v, d.v), 6) score FROM n q, n d WHERE q.vec_id % 100 = 0 AND q.vec_id <> d.vec_id)"
 _RANK = ', r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, node_id)::INT "rank" FROM s)'
@@ -45,17 +51,17 @@ def _ranked(s: DataFrame, k: int, key: str = "query_id", node: str = "node_id")
 
 @query("r1_flat_topk", f'WITH {SC}{_RANK} SELECT query_id, "rank", node_id, score FROM r WHERE "rank" <= 5')
 def r1(spark, sf):
-    return _ranked(_scores(spark, sf), 5).select("query_id", "rank", "node_id", "score")
+    return _nearest(spark, sf, 5).select("query_id", "rank", "node_id", "score")
 
 
 @query("r5_min_score", f'WITH {SC}{_RANK} SELECT query_id, "rank", node_id, score FROM r WHERE "rank" <= 5 AND score >= 0.3')
 def r5(spark, sf):
-    return _ranked(_scores(spark, sf), 5).where("score >= 0.3").select("query_id", "rank", "node_id", "score")
+    return _nearest(spark, sf, 5).where("score >= 0.3").select("query_id", "rank", "node_id", "score")
 
 
 @query("r18_first_generation_flat", f'WITH {SC}{_RANK} SELECT query_id, "rank", node_id, score FROM r WHERE "rank" <= 3')
 def r18(spark, sf):
-    return _ranked(_scores(spark, sf), 3).select("query_id", "rank", "node_id", "score")
+    return _nearest(spark, sf, 3).select("query_id", "rank", "node_id", "score")
 
 
 @query("v4_normalise", f"WITH {N} SELECT vec_id, unnest(range(0, len(v)))::INT AS dim, unnest(list_transform(v, lambda x: round(x, 6))) AS value FROM n")
@@ -144,7 +150,7 @@ _ALPHA = "al AS (SELECT least(0.9, greatest(0.35, round(avg(raw) + stddev_pop(ra
 
 @query("c20_auto_alpha", f"WITH {PAIRS}, {_ALPHA} SELECT alpha FROM al")
 def c20(spark, sf):
-    return spark.createDataFrame([(S.auto_alpha(S.pair_statistics(_ids(_emb(spark, sf)))),)], "alpha double")
+    return spark.createDataFrame([(S.moment_alpha(_emb(spark, sf)),)], "alpha double")
 
 
 _EDGES = f"{PAIRS}, {_ALPHA}, er AS (SELECT id, other, score, row_number() OVER (PARTITION BY id ORDER BY score DESC, other)::INT \"rank\" FROM p, al WHERE la <> lb AND score >= alpha), ed AS (SELECT * FROM er WHERE \"rank\" <= 3)"
@@ -152,7 +158,7 @@ _EDGES = f"{PAIRS}, {_ALPHA}, er AS (SELECT id, other, score, row_number() OVER
 
 def _alpha_edges(spark, sf):
     e = _ids(_emb(spark, sf))
-    return S.neighbours(e, 3, S.auto_alpha(S.pair_statistics(e)), other_group=True)
+    return S.neighbours(e, 3, S.moment_alpha(e), other_group=True)
 
 
 @query("c21_alpha_edges", f"WITH {_EDGES} SELECT id AS src, other AS dst, round(score, 4) AS score, 'cross_document' AS relation FROM ed")
@@ -240,7 +246,7 @@ def _ppr_sql(steps: int) -> str:
 
 
 def _ppr(spark, sf, steps: int):
-    top = _ranked(_scores(spark, sf), 3).select("query_id", "node_id", F.greatest("score", F.lit(1e-6)).alias("w"))
+    top = _nearest(spark, sf, 3).select("query_id", "node_id", F.greatest("score", F.lit(1e-6)).alias("w"))
     seeds = top.select("query_id", "node_id", (F.col("w") / F.sum("w").over(Window.partitionBy("query_id"))).alias("p"))
     return G.personalised_pagerank(G.transition(G.mirrored(_passages(spark, sf))), seeds, 0.5, steps)
 
