@@ -108,7 +108,7 @@ def fingerprints(docs: DataFrame, parts: int | None = None) -> DataFrame:
     spark = docs.sparkSession
     C.ship(spark)
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    cuts = C.id_ranges(d, "doc_id", parts or 2 * C.parts_for(spark))
+    cuts = C.id_ranges(d, "doc_id", parts or 2 * max(C.parts_for(spark), docs.rdd.getNumPartitions()))  # at least in step with the scan, which grows with the data
     d = d.withColumn("part", C.range_of("doc_id", cuts))
     order = F.struct(F.col("doc_id"), F.col("text"))
     # the first row of each range: a row a range, found without moving texts where ids differ

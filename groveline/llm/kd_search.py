@@ -2,8 +2,10 @@
 
 Vectors are dealt into shards by a hash of their id. A shard's tree is built by median splits on
 the widest dimension down to leaves with tight bounding boxes. For a query, the greatest inner
-product any point of a box can have is the sum over dimensions of max(q * low, q * high); nodes are
-visited best bound first and the search ends when no bound reaches the kth score known so far.
+product any point of a box can have is the sum over dimensions of max(q * low, q * high); leaves are
+visited best bound first (a box bounds those inside it, so that is the order of a best-first descent) and a
+query ends when no bound reaches the kth score known so far. The queries of a block go together: its best leaf,
+the next, the next two, four and so on of each, so that a leaf is multiplied with all queries that want it at once.
 The first wave searches one shard for every query; its kth scores go with the queries to all other
 shards, so those prune from the start. Bounds equal to the kth score are still visited, since a tie
 may go to a smaller id.
@@ -16,8 +18,6 @@ returned; an empty table gives an empty one. Further columns are ignored.
 
 from __future__ import annotations
 
-import heapq
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -34,61 +34,60 @@ _RESULT = "query_id long, vec_id long, score long"
 
 
 class Tree:
-    """Median splits; ``lo`` and ``hi`` are each node's tight box. Arithmetic is exact in int64 (in float64 below 2**53)."""
+    """Median splits down to leaves; ``lo`` and ``hi`` are the leaves' tight boxes. Arithmetic is exact in int64 (in float64 below 2**53)."""
 
     def __init__(self, ids: np.ndarray, x: np.ndarray, leaf: int = LEAF):
         order = np.argsort(ids, kind="stable")
-        self.ids, self.x = ids[order], x[order]
-        self.lo, self.hi, self.kids, self.rows = [], [], [], []
-        self._build(np.arange(len(ids)), leaf)
-        self.lo, self.hi = np.asarray(self.lo), np.asarray(self.hi)
+        self.ids, self.x, self.rows = ids[order], x[order], []
+        self._split(np.arange(len(ids)), leaf)
+        self.lo = np.stack([self.x[r].min(0) for r in self.rows])
+        self.hi = np.stack([self.x[r].max(0) for r in self.rows])
 
-    def _build(self, rows: np.ndarray, leaf: int) -> int:
+    def _split(self, rows: np.ndarray, leaf: int) -> None:
         part = self.x[rows]
-        lo, hi = part.min(0), part.max(0)
-        me = len(self.lo)
-        self.lo.append(lo)
-        self.hi.append(hi)
-        self.kids.append(None)
-        self.rows.append(None)
-        d = int(np.argmax(hi - lo))
-        if len(rows) <= leaf or hi[d] == lo[d]:
-            self.rows[me] = np.sort(rows)
-            return me
+        spread = part.max(0) - part.min(0)
+        d = int(np.argmax(spread))
+        if len(rows) <= leaf or spread[d] == 0:
+            self.rows.append(np.sort(rows))
+            return
         o = np.argsort(part[:, d], kind="stable")
         half = len(rows) // 2
-        self.kids[me] = (self._build(rows[o[:half]], leaf), self._build(rows[o[half:]], leaf))
-        return me
-
-    def search(self, own: int, q: np.ndarray, k: int, floor: float):
-        """The k best (score, id), ties to smaller ids, among rows whose score is not below ``floor``; and the leaves seen."""
-        up, down = np.maximum(q, 0), np.minimum(q, 0)
-        bound = self.hi @ up + self.lo @ down
-        best: list[tuple] = []  # a heap of (score, -id), the worst first
-        heap, seen = [(-bound[0], 0)], 0
-        while heap:
-            b, node = heapq.heappop(heap)
-            if -b < floor or (len(best) == k and -b < best[0][0]):
+        self._split(rows[o[:half]], leaf)
+        self._split(rows[o[half:]], leaf)
+
+    def search(self, own: np.ndarray, q: np.ndarray, k: int, floor: np.ndarray):
+        """For each query the k best (ids, scores), ties to smaller ids, of rows whose score is not below its ``floor`` and
+        whose id is not its ``own``; and how many leaves each looked into."""
+        bound = np.maximum(q, 0) @ self.hi.T + np.minimum(q, 0) @ self.lo.T
+        order, m, leaves = np.argsort(-bound, 1, kind="stable"), len(q), len(self.rows)
+        kth, seen = floor.copy(), np.zeros(m, np.int64)
+        best_id, best = [np.zeros(0, np.int64)] * m, [np.zeros(0, q.dtype)] * m
+        a, b = 0, 1
+        while a < leaves:
+            now = order[:, a:b]
+            asks, at = np.nonzero(np.take_along_axis(bound, now, 1) >= kth[:, None])
+            if not len(asks):
                 break
-            if self.kids[node] is not None:
-                for c in self.kids[node]:
-                    if bound[c] >= floor and (len(best) < k or bound[c] >= best[0][0]):
-                        heapq.heappush(heap, (-bound[c], c))
-                continue
-            seen += 1
-            rows = self.rows[node]
-            s = self.x[rows] @ q
-            least = max(floor, best[0][0]) if len(best) == k else floor
-            for i in np.flatnonzero(s >= least):
-                v = int(self.ids[rows[i]])
-                if v == own:
-                    continue
-                item = (int(s[i]), -v)
-                if len(best) < k:
-                    heapq.heappush(best, item)
-                elif item > best[0]:
-                    heapq.heapreplace(best, item)
-        return [(s, -v) for s, v in sorted(best, reverse=True)], seen
+            leaf = now[asks, at]
+            by = np.argsort(leaf, kind="stable")
+            asks, leaf = asks[by], leaf[by]
+            for own_asks in np.split(asks, np.flatnonzero(np.diff(leaf)) + 1):
+                rows = self.rows[int(leaf[0])]
+                leaf = leaf[len(own_asks) :]
+                seen[own_asks] += 1
+                ids, s = self.ids[rows], q[own_asks] @ self.x[rows].T
+                hit = (s >= kth[own_asks][:, None]) & (ids[None] != own[own_asks][:, None])
+                for i in np.flatnonzero(hit.any(1)):
+                    j, h = own_asks[i], hit[i]
+                    all_s, all_id = np.concatenate([best[j], s[i, h]]), np.concatenate([best_id[j], ids[h]])
+                    if len(all_s) > k:
+                        top = np.lexsort((all_id, -all_s))[:k]
+                        all_s, all_id = all_s[top], all_id[top]
+                    best[j], best_id[j] = all_s, all_id
+                    if len(all_s) == k:
+                        kth[j] = max(kth[j], all_s.min())
+            a, b = b, min(2 * b, leaves)
+        return best_id, best, seen
 
 
 def quantise(df: DataFrame, id_column: str, vector: str, scale: int) -> DataFrame:
@@ -117,12 +116,18 @@ def _searched(key, shard: pa.Table, queries: pa.Table, k: int) -> pa.Table:
             x = _vectors(mine["v"], w) if mine.num_rows else np.zeros((0, w))
             if tree.x.dtype != x.dtype:
                 tree.x, tree.lo, tree.hi, x = (a.astype(np.int64) for a in (tree.x, tree.lo, tree.hi, x))
-            for own, q, floor in zip(mine["query_id"].to_pylist(), x, mine["floor"].to_pylist(), strict=True):
-                for s, v in tree.search(own, q, k, float("-inf") if floor is None else floor)[0]:
-                    out[0].append(own)
-                    out[1].append(v)
-                    out[2].append(s)
-    return pa.table([pa.array(c, pa.int64()) for c in out], names=["query_id", "vec_id", "score"])
+            if not len(x):
+                continue
+            none = np.iinfo(np.int64).min
+            floor = mine["floor"].combine_chunks().fill_null(none).to_numpy(zero_copy_only=False)
+            own = mine["query_id"].to_numpy()
+            if x.dtype == np.float64:
+                floor = np.where(floor == none, -np.inf, floor.astype(np.float64))
+            ids, scores, _ = tree.search(own, x, k, floor)
+            out[0].append(np.repeat(own, [len(i) for i in ids]))
+            out[1].append(np.concatenate(ids))
+            out[2].append(np.concatenate(scores).astype(np.int64))
+    return pa.table([pa.array(np.concatenate(c) if c else np.zeros(0, np.int64), pa.int64()) for c in out], names=["query_id", "vec_id", "score"])
 
 
 def top_k(df: DataFrame, k: int, every: int, id_column: str = "vec_id", vector: str = "embedding", scale: int = 64, shard_rows: int = SHARD_ROWS) -> DataFrame:

@@ -10,6 +10,10 @@ The text is normalised to one leading mark and marks for spaces. Where no piece
 another character and all scores are whole numbers, the best path splits at every such mark, exactly;
 counts of the parts are then remembered. Otherwise whole texts are searched.
 
+Given the file of a BPE vocabulary, whose scores are merge ranks, the counts are those of the best-scoring
+path through its pieces, not those of the tokenizer's own merges (about 14 % more at sf0.01): no unigram
+vocabulary is at hand.
+
 Cases: null and empty texts count 0; repeated rows count alike; very long texts are searched part
 by part; a null doc_id stays; an empty table gives an empty result; further columns stay, one named
 n_tokens is replaced.
