@@ -158,7 +158,7 @@ def keywords(texts: DataFrame, group: str, top: int = 6) -> DataFrame:
     """group, rank, keyword, freq: capitals stay, other words are lower-cased; stop words go."""
     w = texts.select(group, F.explode(matches(masked(F.col("text")), KEYWORD)).alias("w"))
     w = w.select(group, F.when(F.upper("w") == F.col("w"), F.col("w")).otherwise(F.lower("w")).alias("keyword"))
-    w = w.where(~F.lower("keyword").isin(STOP_WORDS)).groupBy(group, "keyword").agg(F.count("*").alias("freq"))
+    w = w.where(~F.lower("keyword").isin(*STOP_WORDS)).groupBy(group, "keyword").agg(F.count("*").alias("freq"))
     r = Window.partitionBy(group).orderBy(F.desc("freq"), F.lower("keyword"), "keyword")
     return w.withColumn("rank", F.row_number().over(r)).where(F.col("rank") <= top).select(group, "rank", "keyword", "freq")
 
