@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from groveline.operators import text as T
+from groveline.session import save
 
 # The patterns of standards, acronyms, proper phrases, common words and mid-sentence capitals.
 STANDARD = r"\bASC\s?[0-9]{3}\b"
@@ -14,17 +15,36 @@ PROPER = r"\b[A-Z][a-zA-Z]+(?:[ \t\n\r\f-][A-Z][a-zA-Z]+)*\b"
 COMMON = r"\b[a-z][a-z-]+\b"
 MIDCAP = r"[a-z0-9,;:(][ \t\n\r\f]([A-Z][a-zA-Z]+)"
 
+POSTING_BLOCK = 1024
+
 
 def _texts(df: DataFrame, key: str) -> DataFrame:
     return df.select(key, T.masked(F.col("text")).alias("t"))
 
 
-def common_words(df: DataFrame, key: str = "doc_id") -> DataFrame:
-    return _texts(df, key).select(F.explode(T.matches(F.col("t"), COMMON)).alias("word")).distinct()
+def _kinds() -> dict:
+    """What a text ``t`` is searched for: entities and phrases belong to their text, common and mid-sentence words to the corpus."""
+    t, not_asc = F.col("t"), lambda m: m != "ASC"
+    standard = F.transform(T.matches(t, STANDARD), lambda m: F.lower(F.replace(m, F.lit(" "), F.lit(""))))
+    return {
+        "named": F.concat(standard, F.transform(F.filter(T.matches(t, ACRONYM), not_asc), F.lower)),
+        "phrase": F.filter(T.matches(t, PROPER), not_asc),
+        "common": T.matches(t, COMMON),
+        "midcap": F.transform(F.regexp_extract_all("t", F.lit(MIDCAP), F.lit(1)), F.lower),
+    }
+
+
+def _found(df: DataFrame, kinds: tuple[str, ...], key: str) -> DataFrame:
+    """key, kind, word: the distinct finds of one pass over the texts; the key is null for the corpus's words."""
+    of = _kinds()
+    lists = [F.transform(F.array_distinct(of[k]), lambda w: F.struct(F.lit(k).alias("kind"), w.alias("word"))) for k in kinds]  # noqa: B023
+    rows = _texts(df, key).select(key, F.explode(F.concat(*lists)).alias("x")).select(key, "x.kind", "x.word")
+    return rows.withColumn(key, F.when(F.col("kind").isin("named", "phrase"), F.col(key))).distinct()
 
 
-def midcaps(df: DataFrame, key: str = "doc_id") -> DataFrame:
-    return _texts(df, key).select(F.explode(F.regexp_extract_all("t", F.lit(MIDCAP), F.lit(1))).alias("word")).select(F.lower("word").alias("word")).distinct()
+def corpus_words(df: DataFrame, key: str = "doc_id") -> DataFrame:
+    """kind, word: ``common`` and ``midcap`` words."""
+    return _found(df, ("common", "midcap"), key).select("kind", "word")
 
 
 def entities(df: DataFrame, key: str = "doc_id", corpus: DataFrame | None = None) -> DataFrame:
@@ -33,18 +53,16 @@ def entities(df: DataFrame, key: str = "doc_id", corpus: DataFrame | None = None
     Words that the corpus also writes in lower case leave a phrase; a phrase of one word must also
     stand capitalised inside a sentence somewhere.
     """
-    t = _texts(df, key)
-    fixed = F.concat(
-        F.transform(T.matches(F.col("t"), STANDARD), lambda m: F.lower(F.replace(m, F.lit(" "), F.lit("")))),
-        F.transform(F.filter(T.matches(F.col("t"), ACRONYM), lambda m: m != "ASC"), F.lower),
-    )
-    named = t.select(key, F.explode(F.array_distinct(fixed)).alias("entity"))
-    phrase = t.select(key, F.explode(F.array_distinct(F.filter(T.matches(F.col("t"), PROPER), lambda m: m != "ASC"))).alias("phrase"))
+    both = ("named", "phrase")
+    own = save(_found(df, both if corpus is not None else (*both, "common", "midcap"), key), "entities")
+    known = own if corpus is None else save(corpus_words(corpus.withColumn(key, F.lit(0)), key), "entities")
+    of = lambda kind: known.where(F.col("kind") == kind).select("word")
+    named = own.where("kind = 'named'").select(key, F.col("word").alias("entity"))
+    phrase = own.where("kind = 'phrase'").select(key, F.col("word").alias("phrase"))
     kinds = phrase.select("phrase").distinct()  # each phrase is judged once
     words = kinds.select("phrase", F.posexplode(T.words(F.col("phrase"))).alias("p", "w")).withColumn("word", F.lower("w"))
-    corpus = (df if corpus is None else corpus).select("text").withColumn("any", F.lit(0))
-    stay = words.join(common_words(corpus, "any"), "word", "left_anti")
-    mid = midcaps(corpus, "any").withColumn("mid", F.lit(True))
+    stay = words.join(of("common"), "word", "left_anti")
+    mid = of("midcap").withColumn("mid", F.lit(True))
     stay = stay.join(mid, "word", "left")
     made = stay.groupBy("phrase").agg(F.sort_array(F.collect_list(F.struct("p", "w"))).alias("ws"), F.bool_or("mid").alias("mid"))
     made = made.where((F.size(T.words(F.col("phrase"))) > 1) | F.col("mid")).select("phrase", F.lower(F.array_join(F.transform("ws", lambda x: x["w"]), " ")).alias("entity"))
@@ -58,10 +76,17 @@ def postings(ents: DataFrame, n: int, key: str = "doc_id") -> DataFrame:
 
 
 def shared_weights(ents: DataFrame, weights: DataFrame, key: str = "doc_id") -> DataFrame:
-    """a, b, weight: the summed idf of the entities that two texts share."""
-    e = ents.join(weights.select("entity", "idf"), "entity")
-    x, y = e.select("entity", F.col(key).alias("a"), "idf"), e.select("entity", F.col(key).alias("b"))
-    return x.join(y, "entity").where("a < b").groupBy("a", "b").agg(F.sum("idf").alias("weight"))
+    """a, b, weight: the summed idf of the entities that two texts share (a < b).
+
+    Texts of an entity fall into blocks and each pair of blocks is a join key of its own, so a frequent entity's pairs
+    spread over tasks of at most about ``POSTING_BLOCK`` squared pairs.
+    """
+    e = ents.join(weights, "entity").withColumn("n", F.ceil(F.col("df") / POSTING_BLOCK).cast("int"))
+    e = e.withColumn("k", F.pmod(F.xxhash64(key), "n").cast("int"))
+    x = e.select("entity", "idf", F.col(key).alias("x"), F.col("k").alias("i"), F.explode(F.sequence("k", F.col("n") - 1)).alias("j"))
+    y = e.select("entity", F.col(key).alias("y"), F.explode(F.sequence(F.lit(0), "k")).alias("i"), F.col("k").alias("j"))
+    p = x.join(y, ["entity", "i", "j"]).where("i < j OR x < y")
+    return p.groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).agg(F.sum("idf").alias("weight"))
 
 
 WORD = r"[\p{L}\p{N}_]{3,}"  # words of any script

@@ -107,9 +107,9 @@ def personalised_pagerank(moves: DataFrame, seeds: DataFrame, damping: float, st
 
 def beam_leaves(e: DataFrame, queries: DataFrame, width: int) -> DataFrame:
     """query_id, node_id, score of the leaves below each query's ``width`` best abstracts."""
-    c = centroids(e, "label").agg(F.collect_list(F.struct("label", "c")).alias("cs"))
-    best = queries.crossJoin(F.broadcast(c)).select("query_id", "qv", F.slice(F.array_sort(F.transform("cs", lambda x: F.struct((-F.round(V.dot(F.col("qv"), x["c"]), 6)).alias("s"), x["label"].alias("label")))), 1, width).alias("b"))
-    open_ = best.select("query_id", "qv", F.explode("b.label").alias("label"))
+    abstracts = centroids(e, "label").select(F.col("label").alias("id"), F.col("c").alias("v"))
+    best = S.nearest(queries.select("query_id", F.col("qv").alias("v")), abstracts, width, own=False)
+    open_ = best.select("query_id", F.col("node_id").alias("label")).join(queries, "query_id")
     leaves = e.join(open_, "label").where("vec_id <> query_id")
     return leaves.select("query_id", F.col("vec_id").alias("node_id"), F.round(V.dot(F.col("qv"), F.col("v")), 6).alias("score"))
 

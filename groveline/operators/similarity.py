@@ -72,37 +72,98 @@ def neighbours(df: DataFrame, top: int | None, least: float | None = None, other
     return got.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top)
 
 
-def nearest(queries: DataFrame, df: DataFrame, top: int, rows: int = BLOCK_ROWS) -> DataFrame:
-    """query_id, node_id, score (6 digits), rank: each query's ``top`` rows with another id, ties to the smaller id.
-
-    Blocks of queries (query_id, v) meet blocks of rows (id, v); a task keeps ``top`` a query before anything is shuffled.
-    """
+def _met(queries: DataFrame, df: DataFrame, run, schema: str, rows: int) -> DataFrame:
+    """``run(left, right)`` for every block of ``queries`` (query_id, v) and every block of ``df`` (id, v, and more columns)."""
     ship(df.sparkSession)
-    q, e = save(queries.select("query_id", "v"), "queries"), save(df.select("id", "v"), "vectors")
+    q, e = save(queries, "queries"), save(df, "vectors")
     many = [max(1, -(-x.count() // rows)) for x in (q, e)]
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     left = q.withColumn("_i", F.pmod(F.xxhash64("query_id"), F.lit(many[0])).cast("int")).withColumn("_j", every(many[1]))
     right = e.withColumn("_j", F.pmod(F.xxhash64("id"), F.lit(many[1])).cast("int")).withColumn("_i", every(many[0]))
+    return left.groupBy("_i", "_j").cogroup(right.groupBy("_i", "_j")).applyInArrow(lambda a, b: run(a, b), schema)
+
+
+def _products(a: pa.Table, b: pa.Table, own: bool) -> tuple[pa.Table, np.ndarray]:
+    """``b`` by id, and the products of all rows; those of a query with the row of its own id are -inf if ``own``."""
+    b = b.sort_by("id")
+    raw = _matrix(a) @ _matrix(b).T
+    if own:
+        raw[a["query_id"].to_numpy()[:, None] == b["id"].to_numpy()[None]] = -np.inf
+    return b, raw
+
+
+def _types(queries: DataFrame, df: DataFrame) -> str:
+    return f"query_id {queries.schema['query_id'].dataType.simpleString()}, node_id {df.schema['id'].dataType.simpleString()}"
+
+
+def nearest(queries: DataFrame, df: DataFrame, top: int | None, own: bool = True, digits: int = 6, rows: int = BLOCK_ROWS) -> DataFrame:
+    """query_id, node_id, score (``digits``), raw, rank: each query's ``top`` rows, ties to the smaller id; all, without rank, if None.
+
+    Blocks of queries (query_id, v) meet blocks of rows (id, v); a task keeps ``top`` a query before anything is shuffled.
+    ``own`` leaves out the row whose id is the query's.
+    """
 
     def run(a: pa.Table, b: pa.Table) -> pa.Table:
-        out = ([], [], [])
-        if a.num_rows and b.num_rows:
-            b = b.sort_by("id")
-            s, ids = np.round(_matrix(a) @ _matrix(b).T, 6), b["id"].to_numpy()
-            for own, x in zip(a["query_id"].to_pylist(), s, strict=True):
-                x[ids == own] = -np.inf
-                at = np.argsort(-x, kind="stable")[:top]
-                at = at[np.isfinite(x[at])]
-                for c, v in zip(out, (np.full(len(at), own), ids[at], x[at]), strict=True):
-                    c.append(v)
-        cols = [np.concatenate(c) if c else np.zeros(0) for c in out]
-        return pa.table([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.float64()), strict=True)], names=["query_id", "node_id", "score"])
-
-    got = left.groupBy("_i", "_j").cogroup(right.groupBy("_i", "_j")).applyInArrow(lambda a, b: run(a, b), "query_id long, node_id long, score double")
+        b, raw = _products(a, b, own) if a.num_rows and b.num_rows else (b, np.zeros((0, 0)))
+        at = []
+        for x in np.round(raw, digits):
+            i = np.argsort(-x, kind="stable")[:top]
+            at.append(i[np.isfinite(x[i])])
+        of = np.repeat(np.arange(len(at)), [len(i) for i in at])
+        at = np.concatenate(at) if at else np.zeros(0, np.int64)
+        x = raw[of, at]
+        return pa.table([a["query_id"].take(pa.array(of)), b["id"].take(pa.array(at)), pa.array(np.round(x, digits)), pa.array(x)], names=["query_id", "node_id", "score", "raw"])
+
+    queries, df = queries.select("query_id", "v"), df.select("id", "v")
+    got = _met(queries, df, run, f"{_types(queries, df)}, score double, raw double", rows)
+    if top is None:
+        return got
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "node_id")
     return got.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top)
 
 
+def pooled(queries: DataFrame, df: DataFrame, top: int, rows: int = BLOCK_ROWS) -> DataFrame:
+    """query_id, node_id, label, score: of each block of ``df`` (id, g, v) a query's ``top`` rows and the best of every group.
+
+    So it holds a query's ``top`` rows and each group's best over all blocks, which is all that gates and diverse picks need.
+    """
+
+    def run(a: pa.Table, b: pa.Table) -> pa.Table:
+        b, raw = _products(a, b, True) if a.num_rows and b.num_rows else (b, np.zeros((0, 0)))
+        s = np.round(raw, 6)
+        group = np.unique(b["g"].fill_null(np.iinfo(np.int64).min).to_numpy(), return_inverse=True)[1]
+        at = []
+        for x in s:
+            i = np.argsort(-x, kind="stable")
+            i = i[np.isfinite(x[i])]
+            first = np.unique(group[i], return_index=True)[1]
+            at.append(i[np.union1d(first, np.arange(min(top, len(i))))])
+        of = np.repeat(np.arange(len(at)), [len(i) for i in at])
+        at = np.concatenate(at) if at else np.zeros(0, np.int64)
+        return pa.table([a["query_id"].take(pa.array(of)), b["id"].take(pa.array(at)), b["g"].take(pa.array(at)), pa.array(s[of, at])], names=["query_id", "node_id", "label", "score"])
+
+    queries, df = queries.select("query_id", "v"), df.select("id", F.col("g").cast("long").alias("g"), "v")
+    return _met(queries, df, run, f"{_types(queries, df)}, label long, score double", rows)
+
+
+def query_statistics(queries: DataFrame, df: DataFrame, rows: int = BLOCK_ROWS) -> DataFrame:
+    """query_id, n, total, squares, low, tops: sums, least and the two greatest of a query's scores (6 digits) with all other rows."""
+    names, kinds = ["n", "total", "squares", "low", "tops"], [pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.list_(pa.float64())]
+
+    def run(a: pa.Table, b: pa.Table) -> pa.Table:
+        s = np.round(_products(a, b, True)[1], 6) if a.num_rows and b.num_rows else np.zeros((0, 0))
+        kept = [x[np.isfinite(x)] for x in s]
+        some = [i for i, x in enumerate(kept) if len(x)]
+        kept = [kept[i] for i in some]
+        cols = [[len(x) for x in kept], [x.sum() for x in kept], [(x * x).sum() for x in kept], [x.min() for x in kept], [np.sort(x)[::-1][:2] for x in kept]]
+        return pa.table([a["query_id"].take(pa.array(some, pa.int64()))] + [pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["query_id", *names])
+
+    queries, df = queries.select("query_id", "v"), df.select("id", "v")
+    got = _met(queries, df, run, f"{_types(queries, df).split(',')[0]}, n long, total double, squares double, low double, tops array<double>", rows)
+    tops = F.slice(F.sort_array(F.flatten(F.collect_list("tops")), False), 1, 2)  # two numbers a block
+    return got.groupBy("query_id").agg(*[F.sum(c).alias(c) for c in names[:3]], F.min("low").alias("low"), tops.alias("tops"))
+
+
 def pair_statistics(df: DataFrame, rows: int = BLOCK_ROWS) -> DataFrame:
     """id, n, total, squares, best: sums over each row's products with all others."""
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from groveline.operators import entities as E
 from groveline.operators import text as T
 from groveline.plans.registry import query
-from groveline.plans.text_queries import MASK, docs
+from groveline.plans.text_queries import MASK, dealt, docs
 
 _NW = "len(list_filter(regexp_split_to_array({}, '[ \\t\\n\\x0B\\f\\r]+'), lambda w: w <> ''))"
 _T = f"t AS (SELECT doc_id, {MASK} AS t FROM documents)"
@@ -27,31 +27,31 @@ _G3 = f"{_G2}, post AS (SELECT entity, count(*) AS df, ln((SELECT count(*) FROM
 
 @query("g1_common_words", f"WITH {_G1} SELECT word, 'common' AS kind FROM common UNION ALL SELECT word, 'midcap' FROM midcaps")
 def g1(spark, sf):
-    d = docs(spark, sf)
-    return E.common_words(d).withColumn("kind", F.lit("common")).unionByName(E.midcaps(d).withColumn("kind", F.lit("midcap")))
+    d = dealt(spark, sf)
+    return E.corpus_words(d).select("word", "kind")
 
 
 @query("g2_entities", f"WITH {_G2} SELECT doc_id, entity FROM ents")
 def g2(spark, sf):
-    return E.entities(docs(spark, sf))
+    return E.entities(dealt(spark, sf))
 
 
 @query("g3_inverted_index", f"WITH {_G3} SELECT e.entity, e.doc_id FROM ents e JOIN post p ON p.entity = e.entity")
 def g3(spark, sf):
-    d = docs(spark, sf)
+    d = dealt(spark, sf)
     e = E.entities(d)
     return e.join(E.postings(e, d.count()).select("entity"), "entity").select("entity", "doc_id")
 
 
 @query("g4_idf", f"WITH {_G3} SELECT entity, df, round(idf, 6) AS idf FROM post")
 def g4(spark, sf):
-    d = docs(spark, sf)
+    d = dealt(spark, sf)
     return E.postings(E.entities(d), d.count()).select("entity", "df", F.round("idf", 6).alias("idf"))
 
 
 @query("g5_shared_entities", f"WITH {_G3} SELECT x.doc_id AS a, y.doc_id AS b, round(sum(idf), 6) AS weight FROM ents x JOIN ents y ON x.entity = y.entity AND x.doc_id < y.doc_id JOIN post p ON p.entity = x.entity GROUP BY ALL")
 def g5(spark, sf):
-    d = docs(spark, sf)
+    d = dealt(spark, sf)
     e = E.entities(d)
     return E.shared_weights(e, E.postings(e, d.count())).select("a", "b", F.round("weight", 6).alias("weight"))
 
@@ -68,7 +68,7 @@ def _items(spark, sf):
 
 
 def _top(spark, sf, k: int = 5):
-    s = E.keyword_overlap(_items(spark, sf), docs(spark, sf))
+    s = E.keyword_overlap(_items(spark, sf), dealt(spark, sf))
     w = Window.partitionBy("item_id").orderBy(F.desc("score"), "doc_id")
     return s.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
@@ -87,7 +87,7 @@ hr AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, do
 def r3(spark, sf):
     """0.85 of a base score, here one that falls with length, plus 0.15 of the keyword overlap."""
     n = docs(spark, sf).select("doc_id", T.n_words(F.coalesce("text", F.lit(""))).alias("n"))
-    s = E.keyword_overlap(_items(spark, sf), docs(spark, sf)).join(n, "doc_id")
+    s = E.keyword_overlap(_items(spark, sf), dealt(spark, sf)).join(n, "doc_id")
     s = s.withColumn("score", F.round(F.lit(0.85) * (1 / (1 + F.log(1 + F.col("n")))) + F.lit(0.15) * F.col("score"), 6))
     w = Window.partitionBy("item_id").orderBy(F.desc("score"), "doc_id")
     return s.withColumn("rank", F.row_number().over(w)).where("rank <= 5").select("item_id", "rank", "doc_id", "score")
@@ -170,7 +170,7 @@ SELECT item_id FROM tm WHERE NOT EXISTS (SELECT 1 FROM dl WHERE len(list_filter(
 )
 def e4(spark, sf):
     """Items that no document covers."""
-    return E.uncovered(_items(spark, sf), docs(spark, sf)).select("item_id")
+    return E.uncovered(_items(spark, sf), dealt(spark, sf)).select("item_id")
 
 
 _E5 = f"""{_EV}, mt AS (SELECT item_id, bool_or(covers)::INT::DOUBLE AS hit, coalesce(round(1.0 / min(CASE WHEN covers THEN "rank" END), 6), 0) AS mrr, round(avg(covers::INT), 6) AS "precision", sum({_NW.format("coalesce(text, chr(32))")})::BIGINT AS context_words, min(lang) AS lang FROM cv GROUP BY item_id)"""

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from groveline.operators import text as T
 from groveline.plans.registry import query
+from groveline.session import spread
 
 SIZE, OVERLAP = 60, 15
 _B = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
@@ -16,8 +17,13 @@ def docs(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/documents.parquet")
 
 
+def dealt(spark: SparkSession, sf: str) -> DataFrame:
+    """``documents`` for work that is dear a row."""
+    return spread(docs(spark, sf), "doc_id")
+
+
 def doc_chunks(spark: SparkSession, sf: str) -> DataFrame:
-    return T.chunks(docs(spark, sf).select("doc_id", "text"), SIZE, OVERLAP)
+    return T.chunks(dealt(spark, sf).select("doc_id", "text"), SIZE, OVERLAP)
 
 
 _NW = "len(list_filter(regexp_split_to_array({}, '[ \\t\\n\\x0B\\f\\r]+'), lambda w: w <> ''))"
@@ -73,12 +79,12 @@ def t2(spark, sf):
 
 @query("t3_sentence_split", f"WITH {UNITS} SELECT doc_id, i AS unit_idx, unit FROM u")
 def t3(spark, sf):
-    return T.with_units(docs(spark, sf))
+    return T.with_units(dealt(spark, sf))
 
 
 @query("t4_sections", f"WITH {CONTENT} SELECT doc_id, j AS pos, section, unit, n FROM cu")
 def t4(spark, sf):
-    x = docs(spark, sf).select("doc_id", F.posexplode(T.sectioned(F.col("text"))).alias("pos", "u"))
+    x = dealt(spark, sf).select("doc_id", F.posexplode(T.sectioned(F.col("text"))).alias("pos", "u"))
     return x.select("doc_id", "pos", "u.section", "u.unit", "u.n")
 
 
@@ -156,7 +162,7 @@ r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY freq DESC, lower
 SELECT source, "rank", keyword, freq FROM r WHERE "rank" <= 6""",
 )
 def c10(spark, sf):
-    return T.keywords(docs(spark, sf), "source")
+    return T.keywords(dealt(spark, sf), "source")
 
 
 @query(
@@ -174,12 +180,12 @@ SELECT e.doc_id, 'ABSTRACT SUMMARY: ' || coalesce(body, substr(text, 1, 150) ||
 FROM e LEFT JOIN b ON b.doc_id = e.doc_id""",
 )
 def c13(spark, sf):
-    return T.frequency_abstract(docs(spark, sf))
+    return T.frequency_abstract(dealt(spark, sf))
 
 
 @query("c14_key_entities", f"SELECT doc_id, array_to_string(list_sort(list_distinct(regexp_extract_all({MASK}, '\\b[A-Z][a-zA-Z0-9_-]+\\b')))[1:10], '|') AS entities FROM documents")
 def c14(spark, sf):
-    return docs(spark, sf).select("doc_id", F.array_join(T.key_entities(F.col("text")), "|").alias("entities"))
+    return dealt(spark, sf).select("doc_id", F.array_join(T.key_entities(F.col("text")), "|").alias("entities"))
 
 
 @query("t11_first_generation_chunks")
@@ -187,6 +193,6 @@ def t11(spark, sf):
     """Chunks of 250 words with overlaps of 50 over whole texts; headings stay in the text."""
     from groveline.operators.text import bounds, n_words, sentences_of_line
 
-    u = docs(spark, sf).select("doc_id", sentences_of_line(F.coalesce("text", F.lit(""))).alias("u"))
+    u = dealt(spark, sf).select("doc_id", sentences_of_line(F.coalesce("text", F.lit(""))).alias("u"))
     c = u.select("doc_id", "u", F.posexplode(bounds(F.transform("u", n_words), 250, 50)).alias("chunk_index", "c"))
     return c.select("doc_id", "chunk_index", F.array_join(F.slice("u", F.col("c.a") + 1, F.col("c.b") - F.col("c.a")), " ").alias("text"))

@@ -22,20 +22,21 @@ def _ids(e: DataFrame) -> DataFrame:
     return e.select(F.col("vec_id").cast("long").alias("id"), F.col("label").cast("long").alias("g"), "v")
 
 
-def _scores(spark: SparkSession, sf: str) -> DataFrame:
-    """query_id, node_id, label, score for the stated queries (vec_id divisible by 100) against all other leaves.
+def _asked(e: DataFrame) -> DataFrame:
+    """The stated queries: rows whose id is divisible by 100."""
+    return e.where("id % 100 = 0").select(F.col("id").alias("query_id"), "v")
 
-    Partitions of queries meet partitions of leaves (no side is broadcast), and rankings keep few rows before they shuffle.
-    """
-    e = _emb(spark, sf)
-    q = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("v").alias("qv"))
-    return e.hint("shuffle_replicate_nl").join(q, F.col("query_id") != F.col("vec_id")).select("query_id", F.col("vec_id").alias("node_id"), "label", F.round(V.dot(F.col("qv"), F.col("v")), 6).alias("score"))
+
+def _nearest(spark: SparkSession, sf: str, k: int | None) -> DataFrame:
+    """The ``k`` best leaves (all, if None) of the stated queries but their own, by products of blocks."""
+    e = _ids(_emb(spark, sf))
+    return S.nearest(_asked(e), e, k)
 
 
-def _nearest(spark: SparkSession, sf: str, k: int) -> DataFrame:
-    """The ``k`` best of :func:`_scores` with their rank, by products of blocks."""
-    e = _emb(spark, sf).select(F.col("vec_id").cast("long").alias("id"), "v")
-    return S.nearest(e.where("id % 100 = 0").withColumnRenamed("id", "query_id"), e, k)
+def _pool(spark: SparkSession, sf: str, k: int) -> DataFrame:
+    """The stated queries' ``k`` best leaves and each label's best."""
+    e = _ids(_emb(spark, sf))
+    return S.pooled(_asked(e), e, k)
 
 
 N = "n AS (SELECT vec_id, label, list_transform(embedding::DOUBLE[], lambda x: x / sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]))) v FROM embeddings)"
@@ -79,7 +80,7 @@ def v5(spark, sf):
 
 @query("v6_cosine", f"WITH {SC} SELECT query_id, node_id, score FROM s")
 def v6(spark, sf):
-    return _scores(spark, sf).select("query_id", "node_id", "score")
+    return _nearest(spark, sf, None).select("query_id", "node_id", "score")
 
 
 @query("v7_similarity_rows", f"WITH {PAIRS} SELECT id AS vec_id, count(*) AS n, round(max(raw), 6) AS best, round(avg(raw), 6) AS mean FROM p GROUP BY id")
@@ -93,10 +94,11 @@ def v7(spark, sf):
     f"WITH {SC} SELECT query_id, max(score) AS top, min(score) AS low, round(avg(score), 6) AS mean, round(stddev_pop(score), 6) AS dev, round(list_reverse_sort(list(score))[1] - list_reverse_sort(list(score))[2], 6) AS margin FROM s GROUP BY query_id",
 )
 def v9(spark, sf):
-    s = _scores(spark, sf)
-    two = _ranked(s, 2).groupBy("query_id").agg(F.round(F.max("score") - F.min("score"), 6).alias("margin"))
-    st = s.groupBy("query_id").agg(F.max("score").alias("top"), F.min("score").alias("low"), F.round(F.avg("score"), 6).alias("mean"), F.round(F.stddev_pop("score"), 6).alias("dev"))
-    return st.join(two, "query_id")
+    e = _ids(_emb(spark, sf))
+    mean, top = F.col("total") / F.col("n"), F.element_at("tops", 1)
+    dev = F.sqrt(F.greatest(F.lit(0.0), F.col("squares") / F.col("n") - mean * mean))
+    st = S.query_statistics(_asked(e), e)
+    return st.select("query_id", top.alias("top"), "low", F.round(mean, 6).alias("mean"), F.round(dev, 6).alias("dev"), F.round(top - F.try_element_at("tops", F.lit(2)), 6).alias("margin"))
 
 
 # Clusters: label stands for the cluster of a leaf
@@ -114,16 +116,22 @@ def c3(spark, sf):
 _ASSIGN = _CENT + ", a AS (SELECT n.vec_id, n.label, c.label AS cluster, list_dot_product(n.v, c.c) AS sim FROM n, c), b AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY round(sim, 9) DESC, cluster) AS r FROM a)"
 
 
+def _assigned(spark, sf):
+    """vec_id, cluster, sim: the centroids meet the vectors in blocks."""
+    e = _emb(spark, sf)
+    c = G.centroids(e, "label").select(F.col("label").alias("id"), F.col("c").alias("v"))
+    a = S.nearest(e.select(F.col("vec_id").alias("query_id"), "v"), c, 1, own=False, digits=9)
+    return a.select(F.col("query_id").alias("vec_id"), F.col("node_id").alias("cluster"), F.col("raw").alias("sim"))
+
+
 @query("c2_assign", f"WITH {N}{_ASSIGN} SELECT vec_id, cluster, round(sim, 6) AS sim FROM b WHERE r = 1")
 def c2(spark, sf):
-    e = _emb(spark, sf)
-    return G.assign(e, G.centroids(e, "label")).select("vec_id", "cluster", F.round("sim", 6).alias("sim"))
+    return _assigned(spark, sf).select("vec_id", "cluster", F.round("sim", 6).alias("sim"))
 
 
 @query("c6_cohesion", f"WITH {N}{_ASSIGN} SELECT cluster, count(*) AS members, round(avg(sim), 6) AS cohesion, round(sum(1 - sim), 6) AS inertia FROM b WHERE r = 1 GROUP BY cluster")
 def c6(spark, sf):
-    e = _emb(spark, sf)
-    a = G.assign(e, G.centroids(e, "label"))
+    a = _assigned(spark, sf)
     return a.groupBy("cluster").agg(F.count("*").alias("members"), F.round(F.avg("sim"), 6).alias("cohesion"), F.round(F.sum(1 - F.col("sim")), 6).alias("inertia"))
 
 
@@ -276,9 +284,8 @@ r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, no
 )
 def r6(spark, sf):
     e = _emb(spark, sf)
-    q = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("v").alias("qv"))
-    s = G.label_tree(e).hint("shuffle_replicate_nl").join(q).select("query_id", "node_id", F.round(V.dot(F.col("qv"), F.col("v")), 6).alias("score"))
-    return _ranked(s, 5).select("query_id", "rank", "node_id", "score")
+    nodes = G.label_tree(e).select(F.col("node_id").alias("id"), "v")
+    return S.nearest(_asked(_ids(e)), nodes, 5, own=False).select("query_id", "rank", "node_id", "score")
 
 
 @query(
@@ -300,7 +307,7 @@ _GATE = f"{SC}, gt AS (SELECT *, round(greatest(0, max(score) OVER (PARTITION BY
 
 @query("r12_relevance_gate", f"WITH {_GATE} SELECT DISTINCT query_id, label, gate FROM gt")
 def r12(spark, sf):
-    return G.gates(_scores(spark, sf))
+    return G.gates(_pool(spark, sf, 0))
 
 
 @query(
@@ -309,7 +316,7 @@ def r12(spark, sf):
 k AS (SELECT query_id, node_id, label, adjusted, row_number() OVER (PARTITION BY query_id ORDER BY adjusted DESC, node_id)::INT AS pick FROM ad) SELECT query_id, pick, node_id, label, adjusted FROM k WHERE pick <= 5""",
 )
 def r13(spark, sf):
-    return G.diverse(G.gated_pool(_scores(spark, sf), 5), 5, 0.15)
+    return G.diverse(G.gated_pool(_pool(spark, sf, 5), 5), 5, 0.15)
 
 
 @query("r4_mmr")

@@ -44,6 +44,13 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(sc.applicationId)
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """A scan of fewer parts than there are cores, dealt to all of them by ``key``: for work that is dear a row on a table
+    that comes as one file. A table of more parts than cores, as large ones are, stays as it is read."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``; a temporary one only where that is unset and
     all run on one machine. Elsewhere an unset folder is an error, as executors would write where nobody reads."""
