@@ -62,16 +62,29 @@ def heading_name(unit: Column) -> Column:
     return F.btrim(F.btrim(unit, F.lit("#")), F.lit(BLANK))
 
 
+def bound(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` worked out once, however often the body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def sectioned(text: Column) -> Column:
-    """Structs (section, unit, n) of the content units; headings are consumed."""
-    start = F.struct(F.lit(DEFAULT_SECTION).alias("now"), F.array().cast("array<struct<section:string,unit:string,n:int>>").alias("out"))
+    """Structs (section, unit, n) of the content units; headings are consumed.
+
+    The units between one heading and the next are one slice, so the work grows with the units, not their square.
+    """
+    sized = F.transform(units(text), lambda u: F.struct(u.alias("unit"), n_words(u).alias("n")))
+    marked = F.transform(sized, lambda x: F.struct(x["unit"].alias("unit"), x["n"].alias("n"), (x["unit"].rlike(HEADING_UNIT) & (x["n"] < HEADING_WORDS)).alias("head")))
 
-    def step(s: Column, u: Column) -> Column:
-        new = F.array(F.struct(s["now"].alias("section"), u.alias("unit"), n_words(u).alias("n")))
-        head = is_heading_unit(u)
-        return F.struct(F.when(head, heading_name(u)).otherwise(s["now"]).alias("now"), F.when(head, s["out"]).otherwise(F.concat(s["out"], new)).alias("out"))
+    def between(x: Column, a: Column, b: Column) -> Column:
+        name = F.when(a < 0, F.lit(DEFAULT_SECTION)).otherwise(heading_name(F.get(x, a)["unit"]))
+        part = F.slice(x, a + 2, b - a - 1)
+        return bound(name, lambda s: F.transform(part, lambda u: F.struct(s.alias("section"), u["unit"].alias("unit"), u["n"].alias("n"))))
 
-    return F.aggregate(units(text), start, step, lambda s: s["out"])
+    def cut(x: Column) -> Column:
+        heads = F.filter(F.transform(x, lambda u, i: F.when(u["head"], i)), lambda i: i.isNotNull())
+        return bound(heads, lambda h: F.flatten(F.zip_with(F.concat(F.array(F.lit(-1)), h), F.concat(h, F.array(F.size(x))), lambda a, b: between(x, a, b))))
+
+    return bound(marked, cut)
 
 
 def bounds(sizes: Column, size: int, overlap: int) -> Column:
@@ -83,29 +96,25 @@ def bounds(sizes: Column, size: int, overlap: int) -> Column:
     kind = "array<struct<a:int,b:int>>"
     start = F.struct(F.lit(0).alias("a"), F.lit(0).alias("w"), F.array().cast(kind).alias("out"))
 
-    def carried(a: Column, i: Column) -> Column:
-        """(units, words) of the overlap that ends before unit i."""
-        back = F.reverse(F.slice(sizes, a + 1, i - a))
+    def flushed(sizes: Column, s: Column, i: Column, n: Column) -> Column:
+        """The state after the chunk before unit i is closed: the run carried over is counted back from i."""
+        back = F.reverse(F.slice(sizes, s["a"] + 1, i - s["a"]))
         zero = F.struct(F.lit(0).alias("k"), F.lit(0).alias("w"), F.lit(True).alias("on"))
-        more = lambda s, n: F.struct(
-            (s["k"] + F.when(s["on"] & (s["w"] + n <= overlap), 1).otherwise(0)).alias("k"),
-            (s["w"] + F.when(s["on"] & (s["w"] + n <= overlap), n).otherwise(0)).alias("w"),
-            (s["on"] & (s["w"] + n <= overlap)).alias("on"),
-        )
-        return F.aggregate(back, zero, more)
-
-    def step(s: Column, i: Column) -> Column:
+        more = lambda c, m: F.when(c["on"] & (c["w"] + m <= overlap), F.struct((c["k"] + 1).alias("k"), (c["w"] + m).alias("w"), F.lit(True).alias("on"))).otherwise(F.struct(c["k"].alias("k"), c["w"].alias("w"), F.lit(False).alias("on")))
+        out = F.concat(s["out"], F.array(F.struct(s["a"].alias("a"), i.alias("b"))))
+        return F.aggregate(back, zero, more, lambda c: F.struct((i - c["k"]).alias("a"), (c["w"] + n).alias("w"), out.alias("out")))
+
+    def step(sizes: Column, s: Column, i: Column) -> Column:
         n = F.element_at(sizes, i + 1)
         full = (s["w"] + n > size) & (i > s["a"])
-        c = carried(s["a"], i)
-        return F.when(
-            full,
-            F.struct((i - c["k"]).alias("a"), (c["w"] + n).alias("w"), F.concat(s["out"], F.array(F.struct(s["a"].alias("a"), i.alias("b")))).alias("out")),
-        ).otherwise(F.struct(s["a"].alias("a"), (s["w"] + n).alias("w"), s["out"].alias("out")))
+        return F.when(full, flushed(sizes, s, i, n)).otherwise(F.struct(s["a"].alias("a"), (s["w"] + n).alias("w"), s["out"].alias("out")))
+
+    def every(z: Column) -> Column:
+        last = F.size(z)
+        made = F.aggregate(F.sequence(F.lit(0), last - 1), start, lambda s, i: step(z, s, i), lambda s: F.concat(s["out"], F.array(F.struct(s["a"].alias("a"), last.alias("b")))))
+        return F.when(last == 0, F.array().cast(kind)).otherwise(made)
 
-    last = F.size(sizes)
-    every = F.aggregate(F.sequence(F.lit(0), last - 1), start, step, lambda s: F.concat(s["out"], F.array(F.struct(s["a"].alias("a"), last.alias("b")))))
-    return F.when(last == 0, F.array().cast(kind)).otherwise(every)
+    return bound(sizes, every)
 
 
 def dominant_section(sections: Column) -> Column:
@@ -118,9 +127,9 @@ def dominant_section(sections: Column) -> Column:
 def chunks(docs: DataFrame, size: int = 60, overlap: int = 15, digits: int = 10, key: str = "doc_id") -> DataFrame:
     """key, chunk_index, first_unit, end_unit, section, text, token_count, hash, chunk_id: a row a chunk."""
     made = docs.select(key, sectioned(F.col("text")).alias("u"))
-    cut = made.select(key, "u", F.posexplode(bounds(F.transform("u", lambda x: x["n"]), size, overlap)).alias("chunk_index", "c"))
-    part = F.slice("u", F.col("c.a") + 1, F.col("c.b") - F.col("c.a"))
-    out = cut.select(key, "chunk_index", F.col("c.a").alias("first_unit"), F.col("c.b").alias("end_unit"), part.alias("p"))
+    part = lambda c: F.struct(c["a"].alias("a"), c["b"].alias("b"), F.slice("u", c["a"] + 1, c["b"] - c["a"]).alias("p"))
+    cut = made.select(key, F.posexplode(F.transform(bounds(F.transform("u", lambda x: x["n"]), size, overlap), part)).alias("chunk_index", "c"))
+    out = cut.select(key, "chunk_index", F.col("c.a").alias("first_unit"), F.col("c.b").alias("end_unit"), F.col("c.p").alias("p"))
     out = out.select(
         key, "chunk_index", "first_unit", "end_unit",
         dominant_section(F.transform("p", lambda x: x["section"])).alias("section"),
@@ -144,7 +153,9 @@ FOREIGN_WORD = r"[A-Za-z0-9_]*[^\x00-\x7F](?:[A-Za-z0-9_]|[^\x00-\x7F])*"
 
 
 def masked(text: Column) -> Column:
-    return F.regexp_replace(F.coalesce(text, F.lit("")), FOREIGN_WORD, "\x01")
+    """As ``FOREIGN_WORD``, in a form that starts at the start of a word only and never goes back."""
+    beyond = r"\x{80}-\x{10FFFF}"
+    return F.regexp_replace(F.coalesce(text, F.lit("")), rf"(?<![A-Za-z0-9_])[A-Za-z0-9_]*+[{beyond}][A-Za-z0-9_{beyond}]*+", "\x01")
 
 
 def matches(text: Column, pattern: str) -> Column:
