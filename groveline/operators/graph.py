@@ -143,15 +143,14 @@ def diverse(pool: DataFrame, k: int, bonus: float) -> DataFrame:
 def mmr(queries: DataFrame, leaves: DataFrame, k: int, weight: float) -> DataFrame:
     """query_id, pick, node_id, score: greedy maximal marginal relevance over all ``leaves`` (node_id, v) but the query itself.
 
-    Each of the ``k`` rounds is one maximum a query; the chosen, k - 1 vectors at most, travel with their query.
+    Each of the ``k`` rounds is one maximum a query over blocks of leaves; the chosen, k - 1 vectors at most, travel with their query.
     """
     kind = "array<struct<node_id:bigint,score:double,v:array<double>>>"
+    rows = save(leaves.select(F.col("node_id").cast("long").alias("id"), "v"), "leaves")
     now = save(queries.select("query_id", "qv", F.array().cast(kind).alias("chosen")), "mmr")
-    for i in range(k):
-        near = F.array_max(F.transform("chosen", lambda y: V.dot(F.col("v"), y["v"]))) if i else F.lit(0.0)
-        of = leaves.hint("shuffle_replicate_nl").join(now, (F.col("node_id") != F.col("query_id")) & ~F.exists("chosen", lambda y: y["node_id"] == F.col("node_id")))
-        of = of.withColumn("score", F.round(V.dot(F.col("qv"), F.col("v")), 6)).withColumn("m", F.round(F.lit(weight) * F.col("score") - F.lit(1 - weight) * near, 9))
-        best = of.groupBy("query_id").agg(F.max(F.struct("m", (-F.col("node_id")).alias("o"), "score")).alias("b")).select("query_id", (-F.col("b.o")).alias("node_id"), "b.score")
-        best = best.join(leaves.select("node_id", "v"), "node_id").select("query_id", F.array(F.struct(F.col("node_id").cast("long").alias("node_id"), "score", "v")).cast(kind).alias("one"))
-        now = save(now.join(best, "query_id", "left").select("query_id", "qv", F.concat("chosen", F.coalesce("one", F.array().cast(kind))).alias("chosen")), "mmr")
+    for _ in range(k):
+        taken = now.select("query_id", F.col("qv").alias("v"), F.transform("chosen", lambda y: y["node_id"]).alias("ids"), F.flatten(F.transform("chosen", lambda y: y["v"])).alias("others"))
+        best = S.marginal(taken, rows, weight).groupBy("query_id").agg(F.max(F.struct("m", (-F.col("node_id")).alias("node_id"), "score", "v")).alias("b"))
+        one = F.array(F.struct((-F.col("b.node_id")).alias("node_id"), "b.score", "b.v")).cast(kind)
+        now = save(now.join(best.select("query_id", one.alias("one")), "query_id", "left").select("query_id", "qv", F.concat("chosen", F.coalesce("one", F.array().cast(kind))).alias("chosen")), "mmr")
     return now.select("query_id", F.posexplode("chosen").alias("pick", "x")).select("query_id", (F.col("pick") + 1).alias("pick"), "x.node_id", "x.score")

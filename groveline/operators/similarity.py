@@ -75,7 +75,7 @@ def neighbours(df: DataFrame, top: int | None, least: float | None = None, other
 def _met(queries: DataFrame, df: DataFrame, run, schema: str, rows: int) -> DataFrame:
     """``run(left, right)`` for every block of ``queries`` (query_id, v) and every block of ``df`` (id, v, and more columns)."""
     ship(df.sparkSession)
-    q, e = save(queries, "queries"), save(df, "vectors")
+    q, e = (x if hasattr(x, "_groveline_path") else save(x, name) for x, name in ((queries, "queries"), (df, "vectors")))
     many = [max(1, -(-x.count() // rows)) for x in (q, e)]
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     left = q.withColumn("_i", F.pmod(F.xxhash64("query_id"), F.lit(many[0])).cast("int")).withColumn("_j", every(many[1]))
@@ -146,6 +146,31 @@ def pooled(queries: DataFrame, df: DataFrame, top: int, rows: int = BLOCK_ROWS)
     return _met(queries, df, run, f"{_types(queries, df)}, label long, score double", rows)
 
 
+def marginal(queries: DataFrame, df: DataFrame, weight: float, rows: int = BLOCK_ROWS) -> DataFrame:
+    """query_id, node_id, m, score, v: of each block of ``df`` (id, v) the row of the greatest marginal relevance ``m`` (9 digits).
+
+    ``queries`` has query_id, v, the ids taken before and, one after the other, their vectors (others). A query's own row and
+    those taken stay out; ties go to the smaller id.
+    """
+
+    def run(a: pa.Table, b: pa.Table) -> pa.Table:
+        b, raw = _products(a, b, True) if a.num_rows and b.num_rows else (b, np.zeros((0, 0)))
+        of, at, m, s = [], [], [], np.round(raw, 6)
+        x, ids = (_matrix(b), b["id"].to_numpy()) if len(raw) else (None, None)
+        for i, score in enumerate(s):
+            others = np.asarray(a["others"][i].as_py(), np.float64)
+            near = (x @ others.reshape(-1, x.shape[1]).T).max(1) if len(others) else 0.0
+            v = np.round(weight * score - (1 - weight) * near, 9)
+            v[np.isin(ids, a["ids"][i].as_py())] = -np.inf
+            j = int(v.argmax())
+            if np.isfinite(v[j]):
+                of.append(i), at.append(j), m.append(v[j])
+        i, j = pa.array(of, pa.int64()), pa.array(at, pa.int64())
+        return pa.table([a["query_id"].take(i), b["id"].take(j), pa.array(m, pa.float64()), pa.array([s[y, z] for y, z in zip(of, at, strict=True)], pa.float64()), b["v"].take(j)], names=["query_id", "node_id", "m", "score", "v"])
+
+    return _met(queries, df, run, f"{_types(queries, df)}, m double, score double, v array<double>", rows)
+
+
 def query_statistics(queries: DataFrame, df: DataFrame, rows: int = BLOCK_ROWS) -> DataFrame:
     """query_id, n, total, squares, low, tops: sums, least and the two greatest of a query's scores (6 digits) with all other rows."""
     names, kinds = ["n", "total", "squares", "low", "tops"], [pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.list_(pa.float64())]

@@ -7,6 +7,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from groveline.operators import entities as E
+from groveline.operators import graph as G
 from groveline.operators import similarity as S
 from groveline.operators import text as T
 from groveline.session import spread
@@ -129,3 +130,16 @@ def test_spread_leaves_wide_scans_alone(spark):
     one, wide = spark.range(0, 100, 1, 1), spark.range(0, 100, 1, cores + 3)
     assert spread(wide, "id") is wide
     assert spread(one, "id").rdd.getNumPartitions() == cores and spread(one, "id").count() == 100
+
+
+def test_mmr_over_blocks_equals_a_greedy_loop(spark, monkeypatch):
+    v = vectors()
+    q, e = frames(spark, v)
+    monkeypatch.setattr(S.marginal, "__defaults__", (7,))
+    got = G.mmr(q.withColumnRenamed("v", "qv"), e.select(F.col("id").alias("node_id"), "v"), 6, 0.7).collect()
+    for i in range(0, len(v), 9):
+        s, want = scores(v, i), []
+        for _ in range(6):
+            m = {j: round(0.7 * s[j] - (1 - 0.7) * max((float(v[j] @ v[c]) for c in want), default=0.0), 9) for j in s if j not in want}
+            want.append(min(m, key=lambda j: (-m[j], j)))
+        assert [(r["node_id"], r["score"]) for r in sorted(got, key=lambda r: r["pick"]) if r["query_id"] == i] == [(j, s[j]) for j in want]
