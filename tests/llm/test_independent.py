@@ -66,6 +66,23 @@ def test_line_thresholds(spark, pct):
         assert got == {i: stay.get(i, []) for i, _, _ in rows}
 
 
+def test_line_rarity_looks_at_one_row_in_eight(spark):
+    rare = line_dedup.rarity(table(spark, [(i, "word", "s") for i in range(80)]).coalesce(1))
+    assert rare.max() == int(2 * math.log2(11)) and np.count_nonzero(rare) == 1
+    assert np.count_nonzero(line_dedup.rarity(table(spark, [(0, "one two", "s")]))) == 2
+
+
+def test_line_dedup_of_ids_far_apart(spark):
+    ids = [None, -(2**63) + 1, -(2**62), -5, 7, 8, 2**33, 2**62, 2**63 - 1]
+    rows = [(d, f"a b c d e f g h i j{n // 2}\nown{n} words{n} of{n} line{n} {n}", "s") for n, d in enumerate(ids)]
+    for some in (rows, rows[3:7]):
+        classes = line_dedup._lines(line_dedup._keyed(table(spark, some)), spark.sparkContext.broadcast(np.zeros(line_dedup.BUCKETS, np.uint8)))
+        ranks = [r[0] for r in classes.orderBy("d").select(line_dedup._rank(classes)).collect()]
+        assert ranks == sorted(ranks) and 0 <= ranks[0] and 2**31 <= ranks[-1] < 2**32 if some is rows else len(set(ranks)) >= 2
+    got = {r["doc_id"]: list(r["kept_lines"]) for r in line_dedup.removed_lines(table(spark, rows[::-1])).collect()}
+    assert got == {d: [0, 1] if d is None else [1] for d in ids}
+
+
 def test_near_pairs_just_above_the_threshold(spark):
     """Planted pairs at 0.80 to 0.82 with 200 to 4000 shingles: none may be lost."""
     rnd = random.Random(2)
