@@ -19,8 +19,10 @@ from __future__ import annotations
 
 import re
 import struct
+import sys
 import uuid
 import zlib
+from array import array
 from itertools import chain
 
 import numpy as np
@@ -41,8 +43,16 @@ _TEXT_BYTES = 1 << 20
 _TOGETHER = 512
 #: How byte-level vocabularies write a space.
 _SPACE = "\u0120"
+#: How byte-level vocabularies write a byte: visible ones as they are, the rest from U+0100 on.
+_VISIBLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_BYTES = dict(zip([i for i in range(256) if i not in _VISIBLE], range(256, 512)))  # noqa: B905
 _ODD = re.compile(r" \s")
 _CUT = re.compile(r" (?=\S)")
+#: Where the byte-level pattern breaks whatever stands around: a line end between visible characters, marks after a letter.
+_LINE_END = re.compile(r"(?<=[!-~])\n(?=[!-~])")
+_MARKS = "".join(chr(i) for i in range(33, 127) if not chr(i).isalnum() and chr(i) != "'")
+#: Letters of one or two bytes: a run of them after a space is one piece of the pattern.
+_LETTERS = re.compile(r"[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+")
 
 
 def bits_for(vocabulary: int) -> int:
@@ -159,9 +169,10 @@ class WordEncoder:
 
     The byte-level pattern never joins a space that precedes a non-space with what stands
     before it, so a text may be cut there and the pieces encoded on their own. Pieces are
-    remembered as packed ids. New pieces are encoded many to a line: each but the first begins with a token
-    that holds its space, which no other token of a piece can; where the count of those is not the count of
-    pieces, each piece is encoded alone. Text that spells a special token is encoded as text.
+    remembered as packed ids. Where the file's pattern is seen to break lines and the marks behind a word (``breaks``), a new
+    piece is put together from these, and a word of letters goes to the model itself. Other pieces are encoded many
+    to a line: each but the first begins with a token that holds its space, which no other token of a piece can; where the
+    count of those is not the count of pieces, each piece is encoded alone. Text that spells a special token is encoded as text.
     """
 
     def __init__(self, path: str):
@@ -176,6 +187,10 @@ class WordEncoder:
         self.kind = "<u2" if self.size <= 1 << 16 else "<u4"
         self.known: dict[str, bytes] = {}  # pieces that follow a space, without it
         self.heads: dict[str, bytes] = {}  # first pieces
+        added = self.t.get_added_tokens_decoder().values()
+        plain = self.t.normalizer is None and all(x.special for x in added) and self.t.pre_tokenizer is not None
+        plain = plain and sys.byteorder == "little"
+        self.breaks = plain and [x for x, _ in self.t.pre_tokenizer.pre_tokenize_str(" ab.,\nCd!")] == [_SPACE + "ab", ".,", "\u010a", "Cd", "!"]
         self.begins = np.zeros(self.size, bool)  # tokens that begin with a space
         for token, i in self.t.get_vocab().items():
             self.begins[i] = token.startswith(_SPACE)
@@ -209,6 +224,50 @@ class WordEncoder:
             raw, cuts = own.tobytes(), [*(starts * width).tolist(), n * width]
             home.update(zip(g, [raw[i:j] for i, j in zip(cuts, cuts[1:])], strict=True))
 
+    def _learn_whole(self, after: set[str], first: set[str]) -> None:
+        """Learns pieces that follow a space, and first pieces."""
+        rest = list(after)
+        if self.breaks:  # words go to the model as they would come from the pattern
+            words = [w for w in rest if _LETTERS.fullmatch(w)]
+            rest = [w for w in rest if not _LETTERS.fullmatch(w)]
+            tokenize, code = self.t.model.tokenize, "H" if self.kind == "<u2" else "I"
+            for w in words:
+                spelt = w if w.isascii() else w.encode().decode("latin-1").translate(_BYTES)
+                self.known[w] = array(code, [x.id for x in tokenize(_SPACE + spelt)]).tobytes()
+        alone = [w for w in rest if not w or w[0].isspace()]
+        self._learn(self.known, alone, " ")
+        self._learn_joined([w for w in rest if w and not w[0].isspace()])
+        self._learn(self.heads, list(first), "")
+
+    def _learn_parts(self, after: set[str], first: set[str]) -> None:
+        """As ``_learn_whole``, putting together what the pattern breaks."""
+        if not self.breaks:
+            return self._learn_whole(after, first)
+        known, heads = self.known, self.heads
+        words = {w for w in after if w.isalpha()}
+        stems, marks, marked, lined = [], [], [], []
+        for w in after.difference(words):
+            if "\n" in w and len(lines := _LINE_END.split(w)) > 1:
+                lined.append((w, lines))
+                continue
+            stem = w.rstrip(_MARKS)
+            if stem != w and stem[-1:].isalpha() and stem[-1].isascii():
+                marked.append(w)
+                stems.append(stem)
+                marks.append(w[len(stem) :])
+            else:
+                words.add(w)
+        if lined:
+            heads_of = {x for _, lines in lined for x in lines[1:]}
+            heads_of.add("\n")
+            self._learn_parts({lines[0] for _, lines in lined}.difference(known), heads_of.difference(heads))
+        words.update(stems)
+        self._learn_whole(words.difference(known), first.union(marks).difference(heads))
+        for w, stem, mark in zip(marked, stems, marks, strict=True):
+            known[w] = known[stem] + heads[mark]
+        for w, lines in lined:
+            known[w] = heads["\n"].join([known[lines[0]], *[heads[x] for x in lines[1:]]])
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Packed ids (``kind``) of every text."""
         for home in (self.known, self.heads):
@@ -218,14 +277,17 @@ class WordEncoder:
         first = [c[0] for c in cut]
         for c in cut:
             del c[0]
-        new = set(chain.from_iterable(cut)).difference(self.known)
-        alone = [w for w in new if not w or w[0].isspace()]
-        new.difference_update(alone)
-        self._learn(self.known, alone, " ")
-        self._learn_joined(list(new))
-        self._learn(self.heads, list(set(first).difference(self.heads)), "")
-        get, head = self.known.__getitem__, self.heads.__getitem__
-        return [head(f) + b"".join(map(get, c)) for f, c in zip(first, cut, strict=True)]
+        flat = list(chain.from_iterable(cut))
+        got = list(map(self.known.get, flat))
+        holes = [k for k, x in enumerate(got) if x is None]
+        self._learn_parts({flat[k] for k in holes}, set(first).difference(self.heads))
+        for k in holes:
+            got[k] = self.known[flat[k]]
+        out, a = [], 0
+        for f, c in zip(first, cut, strict=True):
+            out.append(self.heads[f] + b"".join(got[a : a + len(c)]))
+            a += len(c)
+        return out
 
 
 def _encoder(path: str) -> WordEncoder:
