@@ -1,19 +1,23 @@
 """Cosine work over many vectors: blocked products, neighbours, statistics.
 
-n x n products run block against block: each task multiplies two bounded blocks with numpy and
-returns only the neighbours or sums asked for, so no pair table is made.
+n x n products run block against block: a task holds a block of one side, reads the other side's table from the shared
+folder piece by piece, multiplies with numpy and returns only the neighbours or sums asked for. So no pair table is made,
+and what is shuffled and written grows with the rows of either side, not with their product.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from groveline.session import save, ship
+from groveline.session import save, saved_rows, ship
 
 BLOCK_ROWS = 2048
+#: Blocks of the side that is held to one of the side that is read; rows multiplied at a time.
+HELD, STRIP = 4, 512
 
 
 def _matrix(t: pa.Table) -> np.ndarray:
@@ -22,65 +26,143 @@ def _matrix(t: pa.Table) -> np.ndarray:
     return np.asarray(v.flatten().to_numpy(zero_copy_only=False), np.float64).reshape(t.num_rows, -1)
 
 
-def _blocked(df: DataFrame, run, schema: str, rows: int) -> DataFrame:
-    """``run(left, right)`` for every pair of blocks of ``df`` (id, v, and more columns)."""
-    ship(df.sparkSession)
-    kept = save(df, "vectors")
-    blocks = max(1, -(-kept.count() // rows))
-    block = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
-    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    left = kept.withColumn("_i", block).withColumn("_j", every).groupBy("_i", "_j")
-    again = df.sparkSession.read.schema(df.schema).parquet(kept._groveline_path)  # a scan with columns of its own
-    right = again.withColumn("_j", block).withColumn("_i", every).groupBy("_i", "_j")
-    return left.cogroup(right).applyInArrow(lambda a, b: run(a, b), schema)
+def _ids(t: pa.Table, column: str) -> np.ndarray:
+    x = t[column].to_numpy()
+    return x.astype(str) if x.dtype == object else x
 
 
-def neighbours(df: DataFrame, top: int | None, least: float | None = None, other_group: bool = False, above: float | None = None, rows: int = BLOCK_ROWS) -> DataFrame:
-    """id, other, score (6 digits), rank: each row's nearest others, ties to the smaller id.
+def _same(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The places of equal values."""
+    order = np.argsort(b, kind="stable")
+    low, high = (np.searchsorted(b, a, side, sorter=order) for side in ("left", "right"))
+    n = high - low
+    at = np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())
+    return np.repeat(np.arange(len(a)), n), order[at]
 
-    ``df`` has id, unit vectors v and, for ``other_group``, a column g that must differ. ``least`` bounds the
-    rounded score, ``above`` the unrounded one.
-    """
 
-    def run(a: pa.Table, b: pa.Table) -> pa.Table:
-        out = ([], [], [])
-        if a.num_rows and b.num_rows:
-            raw = _matrix(a) @ _matrix(b).T
-            s = np.round(raw, 6)
-            ia, ib = a["id"].to_numpy(), b["id"].to_numpy()
-            ok = ia[:, None] != ib[None]
-            if other_group:
-                ok &= a["g"].to_numpy()[:, None] != b["g"].to_numpy()[None]
-            if least is not None:
-                ok &= s >= least
-            if above is not None:
-                ok &= raw > above
-            for i in range(len(ia)):
-                at = np.flatnonzero(ok[i])
-                if top is not None and len(at) > top:
-                    at = at[np.lexsort((ib[at], -s[i, at]))[:top]]
-                out[0].append(np.full(len(at), ia[i]))
-                out[1].append(ib[at])
-                out[2].append(s[i, at])
-        cols = [np.concatenate(c) if c else np.zeros(0, np.int64) for c in out]
-        return pa.table([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.float64())], names=["id", "other", "score"])
-
-    got = _blocked(df, run, "id long, other long, score double", rows)
+def _blocks(it, rows: int):
+    """A task's batches as tables of about ``rows`` rows."""
+    held, n = [], 0
+    for b in it:
+        for at in range(0, b.num_rows, rows):
+            held.append(b.slice(at, rows))
+            n += held[-1].num_rows
+            if n >= rows:
+                yield pa.Table.from_batches(held)
+                held, n = [], 0
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _met(left: DataFrame, right: DataFrame, visit, schema: str, rows: int) -> DataFrame:
+    """``visit(block, tables)`` for blocks of ``left``: it gets the rows of ``right`` table by table and yields tables of ``schema``.
+
+    The first column of ``left`` deals its rows to the tasks. Where ``left`` has fewer blocks than there are cores, each block
+    goes to a few tasks that read a part of ``right`` each.
+    """
+    spark = left.sparkSession
+    ship(spark)
+    right, left = (x if hasattr(x, "_groveline_path") else save(x, name) for x, name in ((right, "vectors"), (left, "queries")))
+    wide, n = 2 * spark.sparkContext.defaultParallelism, left.count()
+    parts = max(1, -(-n // (HELD * rows)), min(wide, -(-n // min(64, rows))))
+    pieces = max(1, wide // parts)
+    uri, columns = right._groveline_path, right.columns
+    part = F.pmod(F.xxhash64(left.columns[0]), F.lit(parts)).cast("int")
+    dealt = left.withColumn("_piece", F.explode(F.sequence(F.lit(0), F.lit(pieces - 1)))).withColumn("_slot", part * pieces + F.col("_piece"))
+
+    def run(it):
+        for block in _blocks(it, HELD * rows):
+            for piece in np.unique(block["_piece"].to_numpy()):
+                own = block.filter(pc.equal(block["_piece"], pa.scalar(piece, pa.int32())))
+                for t in visit(own, saved_rows(uri, rows, columns, int(piece), pieces)):
+                    yield from (b for b in t.to_batches() if b.num_rows)
+
+    return dealt.repartitionById(parts * pieces, "_slot").mapInArrow(run, schema)
+
+
+def _each(run, rows: int):
+    """A visit that runs over every pair of a block of ``rows`` rows and a table."""
+    return lambda a, tables: (run(a.slice(at, rows), b) for b in tables for at in range(0, a.num_rows, rows))
+
+
+class _Best:
+    """The ``top`` best of each of ``m`` rows so far, ties to the smaller id."""
+
+    def __init__(self, m: int, top: int, kind: np.dtype):
+        self.score, self.raw, self.ids = np.full((m, top), -np.inf), np.full((m, top), -np.inf), np.zeros((m, top), kind)
+
+    def add(self, row: np.ndarray, score: np.ndarray, raw: np.ndarray, ids: np.ndarray) -> None:
+        if ids.dtype.itemsize > self.ids.dtype.itemsize:
+            self.ids = self.ids.astype(ids.dtype)
+        last = self.score[row, -1]
+        on = (score > last) | ((score == last) & (ids < self.ids[row, -1]))
+        if not on.any():
+            return
+        row, score, raw, ids = row[on], score[on], raw[on], ids[on]
+        rows, top = np.unique(row), self.score.shape[1]
+        row, score, raw, ids = (np.concatenate(x) for x in ((np.repeat(rows, top), row), (self.score[rows].ravel(), score), (self.raw[rows].ravel(), raw), (self.ids[rows].ravel(), ids)))
+        order = np.lexsort((ids, -score, row))
+        first = np.searchsorted(row[order], rows)
+        at = order[first[:, None] + np.arange(top)]
+        self.score[rows], self.raw[rows], self.ids[rows] = score[at], raw[at], ids[at]
+
+
+def _closest(left: DataFrame, right: DataFrame, names: tuple[str, str], top: int | None, own: bool, digits: int, least: float | None, above: float | None, rows: int) -> DataFrame:
+    """``names`` (a row of ``left`` by its first column, one of ``right`` by id), score (rounded) and raw of every pair asked for: each row's
+    ``top`` in its part of ``right``, or all. Rows of one g don't meet if both sides have it; a row of the same id doesn't if ``own``."""
+    key, grouped, margin = left.columns[0], "g" in left.columns, 1.01 * 10.0**-digits
+    schema = f"{names[0]} {left.schema[key].dataType.simpleString()}, {names[1]} {right.schema['id'].dataType.simpleString()}, score double, raw double"
+
+    def visit(a: pa.Table, tables):
+        x, ia, best = _matrix(a), _ids(a, key), None
+        of = lambda t: _ids(t, "g") if grouped else None
+        ga = of(a)
+        table = lambda i, ids, score, raw: pa.table([a[key].take(pa.array(i)), ids, pa.array(score), pa.array(raw)], names=[*names, "score", "raw"])
+        low = max([-np.inf, *([least - margin] if least is not None else []), *([above] if above is not None else [])])
+        for b in tables:
+            y, ib, gb, kind = _matrix(b).T, _ids(b, "id"), of(b), b["id"].type
+            best = _Best(len(x), top, ib.dtype) if best is None and top is not None else best
+            not_a, not_b = _same(ia, ib) if own else (np.zeros(0, np.int64),) * 2
+            for at in range(0, len(x), STRIP):
+                raw = x[at : at + STRIP] @ y
+                here = (not_a >= at) & (not_a < at + STRIP)
+                raw[not_a[here] - at, not_b[here]] = -np.inf
+                if grouped:
+                    raw[ga[at : at + STRIP, None] == gb[None]] = -np.inf
+                floor = np.full(len(raw), low)
+                if best is not None:
+                    floor = np.maximum(floor, best.score[at : at + STRIP, -1] - margin)
+                    if np.isneginf(floor).any() and raw.shape[1] > 4 * top:  # as many as these are here
+                        floor = np.maximum(floor, np.partition(raw, -top, 1)[:, -top] - margin)
+                i, j = np.nonzero(raw > floor[:, None])
+                r = raw[i, j]
+                score = np.round(r, digits)
+                if least is not None:
+                    on = score >= least
+                    i, j, r, score = i[on], j[on], r[on], score[on]
+                if best is not None:
+                    best.add(at + i, score, r, ib[j])
+                else:
+                    yield table(at + i, b["id"].take(pa.array(j)), score, r)
+        if best is not None:
+            i, j = np.nonzero(np.isfinite(best.score))
+            yield table(i, pa.array(best.ids[i, j].tolist(), kind), best.score[i, j], best.raw[i, j])
+
+    got = _met(left, right, visit, schema, rows)
     if top is None:
         return got
-    w = Window.partitionBy("id").orderBy(F.desc("score"), "other")
+    w = Window.partitionBy(names[0]).orderBy(F.desc("score"), names[1])
     return got.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top)
 
 
-def _met(queries: DataFrame, df: DataFrame, run, schema: str, rows: int) -> DataFrame:
-    """``run(left, right)`` for every block of ``queries`` (query_id, v) and every block of ``df`` (id, v, and more columns)."""
-    ship(df.sparkSession)
-    q, e = (x if hasattr(x, "_groveline_path") else save(x, name) for x, name in ((queries, "queries"), (df, "vectors")))
-    many = [max(1, -(-x.count() // rows)) for x in (q, e)]
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = q.withColumn("_i", F.pmod(F.xxhash64("query_id"), F.lit(many[0])).cast("int")).withColumn("_j", every(many[1]))
-    right = e.withColumn("_j", F.pmod(F.xxhash64("id"), F.lit(many[1])).cast("int")).withColumn("_i", every(many[0]))
-    return left.groupBy("_i", "_j").cogroup(right.groupBy("_i", "_j")).applyInArrow(lambda a, b: run(a, b), schema)
+def neighbours(df: DataFrame, top: int | None, least: float | None = None, other_group: bool = False, above: float | None = None, rows: int = BLOCK_ROWS) -> DataFrame:
+    """id, other, score (6 digits), rank: each row's nearest others, ties to the smaller id.
+
+    ``df`` has id, unit vectors v and, for ``other_group``, a column g that must differ. ``least`` bounds the
+    rounded score, ``above`` the unrounded one.
+    """
+    kept = save(df.select("id", *["g"] * other_group, "v"), "vectors")
+    return _closest(kept, kept, ("id", "other"), top, True, 6, least, above, rows).drop("raw")
 
 
 def _products(a: pa.Table, b: pa.Table, own: bool) -> tuple[pa.Table, np.ndarray]:
@@ -99,27 +181,10 @@ def _types(queries: DataFrame, df: DataFrame) -> str:
 def nearest(queries: DataFrame, df: DataFrame, top: int | None, own: bool = True, digits: int = 6, rows: int = BLOCK_ROWS) -> DataFrame:
     """query_id, node_id, score (``digits``), raw, rank: each query's ``top`` rows, ties to the smaller id; all, without rank, if None.
 
-    Blocks of queries (query_id, v) meet blocks of rows (id, v); a task keeps ``top`` a query before anything is shuffled.
+    Blocks of queries (query_id, v) meet the rows (id, v); a task keeps ``top`` a query before anything is shuffled.
     ``own`` leaves out the row whose id is the query's.
     """
-
-    def run(a: pa.Table, b: pa.Table) -> pa.Table:
-        b, raw = _products(a, b, own) if a.num_rows and b.num_rows else (b, np.zeros((0, 0)))
-        at = []
-        for x in np.round(raw, digits):
-            i = np.argsort(-x, kind="stable")[:top]
-            at.append(i[np.isfinite(x[i])])
-        of = np.repeat(np.arange(len(at)), [len(i) for i in at])
-        at = np.concatenate(at) if at else np.zeros(0, np.int64)
-        x = raw[of, at]
-        return pa.table([a["query_id"].take(pa.array(of)), b["id"].take(pa.array(at)), pa.array(np.round(x, digits)), pa.array(x)], names=["query_id", "node_id", "score", "raw"])
-
-    queries, df = queries.select("query_id", "v"), df.select("id", "v")
-    got = _met(queries, df, run, f"{_types(queries, df)}, score double, raw double", rows)
-    if top is None:
-        return got
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "node_id")
-    return got.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top)
+    return _closest(queries.select("query_id", "v"), df.select("id", "v"), ("query_id", "node_id"), top, own, digits, None, None, rows)
 
 
 def pooled(queries: DataFrame, df: DataFrame, top: int, rows: int = BLOCK_ROWS) -> DataFrame:
@@ -143,7 +208,7 @@ def pooled(queries: DataFrame, df: DataFrame, top: int, rows: int = BLOCK_ROWS)
         return pa.table([a["query_id"].take(pa.array(of)), b["id"].take(pa.array(at)), b["g"].take(pa.array(at)), pa.array(s[of, at])], names=["query_id", "node_id", "label", "score"])
 
     queries, df = queries.select("query_id", "v"), df.select("id", F.col("g").cast("long").alias("g"), "v")
-    return _met(queries, df, run, f"{_types(queries, df)}, label long, score double", rows)
+    return _met(queries, df, _each(run, rows), f"{_types(queries, df)}, label long, score double", rows)
 
 
 def marginal(queries: DataFrame, df: DataFrame, weight: float, rows: int = BLOCK_ROWS) -> DataFrame:
@@ -168,7 +233,7 @@ def marginal(queries: DataFrame, df: DataFrame, weight: float, rows: int = BLOCK
         i, j = pa.array(of, pa.int64()), pa.array(at, pa.int64())
         return pa.table([a["query_id"].take(i), b["id"].take(j), pa.array(m, pa.float64()), pa.array([s[y, z] for y, z in zip(of, at, strict=True)], pa.float64()), b["v"].take(j)], names=["query_id", "node_id", "m", "score", "v"])
 
-    return _met(queries, df, run, f"{_types(queries, df)}, m double, score double, v array<double>", rows)
+    return _met(queries, df, _each(run, rows), f"{_types(queries, df)}, m double, score double, v array<double>", rows)
 
 
 def query_statistics(queries: DataFrame, df: DataFrame, rows: int = BLOCK_ROWS) -> DataFrame:
@@ -184,26 +249,34 @@ def query_statistics(queries: DataFrame, df: DataFrame, rows: int = BLOCK_ROWS)
         return pa.table([a["query_id"].take(pa.array(some, pa.int64()))] + [pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["query_id", *names])
 
     queries, df = queries.select("query_id", "v"), df.select("id", "v")
-    got = _met(queries, df, run, f"{_types(queries, df).split(',')[0]}, n long, total double, squares double, low double, tops array<double>", rows)
+    got = _met(queries, df, _each(run, rows), f"{_types(queries, df).split(',')[0]}, n long, total double, squares double, low double, tops array<double>", rows)
     tops = F.slice(F.sort_array(F.flatten(F.collect_list("tops")), False), 1, 2)  # two numbers a block
     return got.groupBy("query_id").agg(*[F.sum(c).alias(c) for c in names[:3]], F.min("low").alias("low"), tops.alias("tops"))
 
 
 def pair_statistics(df: DataFrame, rows: int = BLOCK_ROWS) -> DataFrame:
     """id, n, total, squares, best: sums over each row's products with all others."""
-
-    def run(a: pa.Table, b: pa.Table) -> pa.Table:
-        names, kinds = ["id", "n", "total", "squares", "best"], [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64()]
-        if not (a.num_rows and b.num_rows):
-            return pa.table([pa.array([], k) for k in kinds], names=names)
-        s = _matrix(a) @ _matrix(b).T
-        ia = a["id"].to_numpy()
-        ok = ia[:, None] != b["id"].to_numpy()[None]
-        x = np.where(ok, s, 0)
-        cols = [ia, ok.sum(1), x.sum(1), (x * x).sum(1), np.where(ok, s, -np.inf).max(1)]
-        return pa.table([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=names)
-
-    got = _blocked(df, run, "id long, n long, total double, squares double, best double", rows)
+    kept = save(df.select("id", "v"), "vectors")
+
+    def visit(a: pa.Table, tables):
+        x, ia = _matrix(a), _ids(a, "id")
+        n, total, squares, best = np.zeros(len(x), np.int64), np.zeros(len(x)), np.zeros(len(x)), np.full(len(x), -np.inf)
+        for b in tables:
+            y = _matrix(b).T
+            not_a, not_b = _same(ia, _ids(b, "id"))
+            n += b.num_rows - np.bincount(not_a, minlength=len(x))
+            for at in range(0, len(x), STRIP):
+                here, part = (not_a >= at) & (not_a < at + STRIP), slice(at, at + STRIP)
+                own = (not_a[here] - at, not_b[here])
+                s = x[part] @ y
+                s[own] = 0
+                total[part] += s.sum(1)
+                squares[part] += np.einsum("ij,ij->i", s, s)
+                s[own] = -np.inf
+                best[part] = np.maximum(best[part], s.max(1))
+        yield pa.table([a["id"], pa.array(n), pa.array(total), pa.array(squares), pa.array(best)], names=["id", "n", "total", "squares", "best"])
+
+    got = _met(kept, kept, visit, f"id {df.schema['id'].dataType.simpleString()}, n long, total double, squares double, best double", rows)
     return got.groupBy("id").agg(F.sum("n").alias("n"), F.sum("total").alias("total"), F.sum("squares").alias("squares"), F.max("best").alias("best"))
 
 
