@@ -3,6 +3,7 @@
 import numpy as np
 import pytest
 
+from groveline.operators import graph as G
 from groveline.operators import similarity as S
 
 
@@ -49,3 +50,45 @@ def test_neighbours_of_copies_groups_and_bounds(spark):
     named = frame(spark, v).selectExpr("concat('n', id) AS id", "v")
     pairs = {(r["id"], r["other"]) for r in S.neighbours(named, None, above=0.5, rows=16).collect()}
     assert pairs == {(f"n{i}", f"n{j}") for i in range(90) for j in range(90) if i != j and v[i] @ v[j] > 0.5}
+
+
+def loop(moves, seeds, steps):
+    """{(query, node): mass}, by plain sums."""
+    out = {}
+    for q in {x[0] for x in seeds}:
+        base = {n: p for k, n, p in seeds if k == q}
+        mass = dict(base)
+        for _ in range(steps):
+            nxt = {n: 0.5 * x for n, x in base.items()}
+            for a, b, p in moves:
+                if a in mass:
+                    nxt[b] = nxt.get(b, 0.0) + 0.5 * mass[a] * p
+            mass = nxt
+        out |= {(q, n): x for n, x in mass.items()}
+    return out
+
+
+def test_pagerank_of_hubs_strangers_and_tiny_shares(spark, monkeypatch):
+    monkeypatch.setattr(G, "SLOTS", 3)
+    monkeypatch.setattr(G, "MASS_CELLS", 60)
+    rnd = np.random.default_rng(5)
+    moves = [(int(a), int(b), float(p)) for a, b, p in {(x, y): (x, y, z) for x, y, z in zip(rnd.integers(0, 20, 90), rnd.integers(0, 20, 90) * 3 % 20, rnd.random(90))}.values()]
+    moves += [(i, 100, 0.1) for i in range(20)] + [(100, 101, 1e-200), (101, 102, 1e-200), (102, 103, 0.0)]
+    seeds = [(q, int(n), 0.5) for q in range(7) for n in (q, q + 9)] + [(8, 100, 1.0), (9, 555, 1.0)]
+    m, s = spark.createDataFrame(moves, "src long, dst long, p double"), spark.createDataFrame(seeds, "query_id long, node_id long, p double")
+    want = loop(moves, seeds, 6)
+    got = {(r["query_id"], r["node_id"]): r["mass"] for r in G.personalised_pagerank(m, s, 0.5, 6).collect()}
+    assert set(got) == set(want) and all(abs(got[k] - want[k]) < 1e-12 for k in want)
+    best = {}
+    for r in G.personalised_pagerank(m, s, 0.5, 6, 3).collect():
+        best.setdefault(r["query_id"], set()).add(r["node_id"])
+    for q, nodes in best.items():
+        assert nodes == set(sorted((n for k, n in want if k == q), key=lambda n: (-round(want[q, n], 6), n))[:3])
+
+
+def test_pagerank_shuffles_no_masses(spark):
+    n = 60
+    moves = spark.createDataFrame([(i, (i * k + 1) % n, 0.25) for i in range(n) for k in (1, 3, 7, 11)], "src long, dst long, p double")
+    seeds = spark.createDataFrame([(q, q, 1.0) for q in range(n)], "query_id long, node_id long, p double")
+    rows, moved = shuffled(spark, lambda: G.personalised_pagerank(moves, seeds, 0.5, 12).count())
+    assert rows == n * n and moved < 40_000  # n * n masses of 12 steps are a few hundred thousand bytes
