@@ -1,4 +1,4 @@
-"""Units, sections, chunks and keywords of texts, in DataFrame functions only.
+"""Units, sections, chunks and keywords of texts, in DataFrame functions; only words are counted in numpy.
 
 All work on one row a document (or its exploded units): the sequential fold of the chunker is an
 ``aggregate`` inside the row, so no shuffle is needed up to the final aggregates.
@@ -6,8 +6,14 @@ All work on one row a document (or its exploded units): the sequential fold of t
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType, StructType
+
+from groveline.session import ship
 
 BLANK = " \t\n\x0b\x0c\r"
 # Headings, stop words and patterns that results depend on.
@@ -178,23 +184,44 @@ def key_entities(text: Column, top: int = 10) -> Column:
     return F.slice(F.array_sort(F.array_distinct(matches(masked(text), r"\b[A-Z][a-zA-Z0-9_-]+\b"))), 1, top)
 
 
+def _most_frequent(rows: pa.ListArray, top: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of rows of sentences of words: how many sentences each row has picked, and which of all sentences, best first.
+
+    A sentence scores the sum, over its words, of the word's count in the row; ties go to the earlier one.
+    """
+    sentences, many = rows.flatten(), pc.list_value_length(rows).to_numpy(zero_copy_only=False)
+    of = np.repeat(np.arange(len(rows)), many)
+    at = np.repeat(np.arange(len(sentences)), pc.list_value_length(sentences).to_numpy(zero_copy_only=False))
+    coded = sentences.flatten().dictionary_encode()
+    word = of[at] * max(1, len(coded.dictionary)) + coded.indices.to_numpy()
+    _, which, count = np.unique(word, return_inverse=True, return_counts=True)
+    score = np.bincount(at, count[which], len(sentences))
+    order = np.lexsort((-score, of))  # stable: the earlier of equals first
+    on = np.arange(len(order)) - np.repeat(np.cumsum(many) - many, many) < top
+    return np.minimum(many, top), order[on]
+
+
 def frequency_abstract(docs: DataFrame, key: str = "doc_id", top: int = 3) -> DataFrame:
     """key, abstract: the ``top`` sentences with the most frequent words, and entities, in one string.
 
-    Sentences are split at full stops and longer than 15 characters; a word counts with more than 3.
+    Sentences are split at full stops and longer than 15 characters; a word counts with more than 3. A text's words are
+    counted where it stands, without a shuffle.
     """
-    d = docs.select(key, F.coalesce("text", F.lit("")).alias("text"))
-    s = F.filter(F.transform(F.split("text", r"\."), lambda x: F.btrim(x, F.lit(BLANK))), lambda x: F.length(x) > 15)
-    tokens = lambda x: F.filter(words(F.lower(x)), lambda w: F.length(w) > 3)
-    d = d.select(key, "text", s.alias("s")).withColumn("all", F.array_sort(F.flatten(F.transform("s", tokens))))
-    d = d.select(key, "text", F.posexplode_outer("s").alias("p", "sentence"), "s", "all")
-    one = d.where("sentence IS NOT NULL").select(key, "p", "sentence", F.explode_outer(tokens(F.col("sentence"))).alias("w"))
-    freq = one.where("w IS NOT NULL").groupBy(key, "w").agg(F.count("*").alias("f"))
-    score = one.join(freq, [key, "w"], "left").groupBy(key, "p").agg(F.coalesce(F.sum("f"), F.lit(0)).alias("score"), F.first("sentence").alias("sentence"))
-    r = Window.partitionBy(key).orderBy(F.desc("score"), "p")
-    best = score.withColumn("r", F.row_number().over(r)).where(F.col("r") <= top)
-    best = best.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("r", "sentence"))).alias("b"))
-    ents = F.slice(key_entities(F.col("text")), 1, 5)
+    ship(docs.sparkSession)
+    text = F.coalesce("text", F.lit(""))
+    ents = F.slice(key_entities(text), 1, 5)
     tail = F.when(F.size(ents) > 0, F.concat(F.lit(" [Entities: "), F.array_join(ents, ", "), F.lit("]"))).otherwise("")
-    body = F.coalesce(F.array_join(F.transform("b", lambda x: x["sentence"]), " | "), F.concat(F.substring("text", 1, 150), F.lit("...")))
-    return docs.select(key, F.coalesce("text", F.lit("")).alias("text")).join(best, key, "left").select(key, F.concat(F.lit("ABSTRACT SUMMARY: "), body, tail).alias("abstract"))
+    s = F.filter(F.transform(F.split(text, r"\."), lambda x: F.btrim(x, F.lit(BLANK))), lambda x: F.length(x) > 15)
+    tokens = lambda x: F.filter(words(F.lower(x)), lambda w: F.length(w) > 3)
+    d = docs.select(F.col(key).alias("key"), F.concat(F.substring(text, 1, 150), F.lit("...")).alias("head"), tail.alias("tail"), s.alias("s"))
+    kept = StructType([d.schema[c] for c in ("key", "head", "tail")])
+
+    def run(it):
+        for b in it:
+            many, best = _most_frequent(b.column(4), top)
+            picked = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(many)]), pa.int32()), b.column(3).flatten().take(pa.array(best)))
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], picked], names=[*kept.names, "best"])
+
+    made = d.withColumn("tokens", F.transform("s", tokens)).mapInArrow(run, StructType([*kept.fields]).add("best", ArrayType(StringType())))
+    body = F.when(F.size("best") > 0, F.array_join("best", " | ")).otherwise(F.col("head"))
+    return made.select(F.col("key").alias(key), F.concat(F.lit("ABSTRACT SUMMARY: "), body, F.col("tail")).alias("abstract"))

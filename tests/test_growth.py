@@ -5,6 +5,7 @@ import pytest
 
 from groveline.operators import graph as G
 from groveline.operators import similarity as S
+from groveline.operators import text as T
 
 
 def shuffled(spark, make):
@@ -92,3 +93,19 @@ def test_pagerank_shuffles_no_masses(spark):
     seeds = spark.createDataFrame([(q, q, 1.0) for q in range(n)], "query_id long, node_id long, p double")
     rows, moved = shuffled(spark, lambda: G.personalised_pagerank(moves, seeds, 0.5, 12).count())
     assert rows == n * n and moved < 40_000  # n * n masses of 12 steps are a few hundred thousand bytes
+
+
+def test_frequency_abstract_counts_words_where_the_text_stands(spark):
+    rnd = np.random.default_rng(7)
+    vocabulary = ["orchard", "Planet", "vessel", "the", "größe", "letter", "counts"]
+    texts = [". ".join(" ".join(rnd.choice(vocabulary, rnd.integers(1, 9))) for _ in range(rnd.integers(1, 12))) for _ in range(80)] + ["", None, "a b c d e f g h i j k. no no no no no no no", "short. " * 30]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    got, moved = shuffled(spark, lambda: {r["doc_id"]: r["abstract"] for r in T.frequency_abstract(df).collect()})
+    assert moved == 0
+    for i, t in enumerate(texts):
+        s = [x.strip() for x in (t or "").split(".") if len(x.strip()) > 15]
+        words = [[w for w in x.lower().split() if len(w) > 3] for x in s]
+        count = {w: sum(x.count(w) for x in words) for x in words for w in x}
+        best = sorted(range(len(s)), key=lambda k: (-sum(count[w] for w in words[k]), k))[:3]
+        body = " | ".join(s[k] for k in best) if s else (t or "")[:150] + "..."
+        assert got[i].split(" [Entities")[0] == "ABSTRACT SUMMARY: " + body
