@@ -109,3 +109,19 @@ def test_frequency_abstract_counts_words_where_the_text_stands(spark):
         best = sorted(range(len(s)), key=lambda k: (-sum(count[w] for w in words[k]), k))[:3]
         body = " | ".join(s[k] for k in best) if s else (t or "")[:150] + "..."
         assert got[i].split(" [Entities")[0] == "ABSTRACT SUMMARY: " + body
+
+
+def test_beam_keeps_the_best_in_each_task(spark):
+    v = unit(400, 16, 8)
+    label = [None if i == 5 else i % 7 for i in range(400)]
+    e = spark.createDataFrame([(i, label[i], x.tolist()) for i, x in enumerate(v)], "vec_id long, label int, v array<double>")
+    q = e.where("vec_id % 4 = 0").selectExpr("vec_id AS query_id", "v AS qv")
+    rows, moved = shuffled(spark, lambda: G.beam_leaves(e, q, 3, 5).collect())
+    assert moved < 1_000_000  # every leaf below an open abstract with both vectors is several times that
+    mean = {g: v[[i for i in range(400) if label[i] == g]].mean(0) for g in set(label)}
+    mean = {g: m / np.linalg.norm(m) for g, m in mean.items()}
+    for i in range(0, 400, 40):
+        beam = sorted(mean, key=lambda g: (-round(float(v[i] @ mean[g]), 6), -1 if g is None else g))[:3]
+        s = {j: round(float(v[i] @ v[j]), 6) for j in range(400) if j != i and label[j] in beam and label[j] is not None}
+        want = sorted(s, key=lambda j: (-s[j], j))[:5]
+        assert [r["node_id"] for r in sorted((r for r in rows if r["query_id"] == i), key=lambda r: r["rank"])] == want
