@@ -68,9 +68,12 @@ def _items(spark, sf):
 
 
 def _top(spark, sf, k: int = 5):
-    s = E.keyword_overlap(_items(spark, sf), dealt(spark, sf))
-    w = Window.partitionBy("item_id").orderBy(F.desc("score"), "doc_id")
-    return s.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return E.keyword_top(_items(spark, sf), dealt(spark, sf), k)
+
+
+def _cited(spark, sf):
+    """As ``_top``, for a join with ``documents``: ``k`` rows an item, so that the texts stay where they are."""
+    return F.broadcast(_top(spark, sf))
 
 
 @query("r2_keyword_overlap", f'WITH {_KW} SELECT item_id, "rank", doc_id, score FROM k5')
@@ -86,11 +89,8 @@ hr AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, do
 @query("r3_hybrid", f'WITH {_HY} SELECT item_id, "rank", doc_id, score FROM hr WHERE "rank" <= 5')
 def r3(spark, sf):
     """0.85 of a base score, here one that falls with length, plus 0.15 of the keyword overlap."""
-    n = docs(spark, sf).select("doc_id", T.n_words(F.coalesce("text", F.lit(""))).alias("n"))
-    s = E.keyword_overlap(_items(spark, sf), dealt(spark, sf)).join(n, "doc_id")
-    s = s.withColumn("score", F.round(F.lit(0.85) * (1 / (1 + F.log(1 + F.col("n")))) + F.lit(0.15) * F.col("score"), 6))
-    w = Window.partitionBy("item_id").orderBy(F.desc("score"), "doc_id")
-    return s.withColumn("rank", F.row_number().over(w)).where("rank <= 5").select("item_id", "rank", "doc_id", "score")
+    base = F.lit(0.85) * (1 / (1 + F.log(1 + T.n_words(F.coalesce("text", F.lit(""))))))
+    return E.keyword_top(_items(spark, sf), dealt(spark, sf), 5, base, 0.15).select("item_id", "rank", "doc_id", "score")
 
 
 _CTX = f"""{_KW}, cx AS (SELECT k5.item_id, k5."rank", k5.doc_id, d.source, k5.score, list_filter(regexp_split_to_array(coalesce(d.text, ''), '[ \\t\\n\\x0B\\f\\r]+'), lambda w: w <> '') AS ws FROM k5 JOIN documents d ON d.doc_id = k5.doc_id),
@@ -98,7 +98,7 @@ cy AS (SELECT *, coalesce((sum(len(ws)) OVER (PARTITION BY item_id ORDER BY "ran
 
 
 def _context(spark, sf, budget: int = 400):
-    t = _top(spark, sf).join(docs(spark, sf).select("doc_id", "source", T.words(F.coalesce("text", F.lit(""))).alias("ws")), "doc_id")
+    t = _cited(spark, sf).join(docs(spark, sf).select("doc_id", "source", T.words(F.coalesce("text", F.lit(""))).alias("ws")), "doc_id")
     w = Window.partitionBy("item_id").orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)
     return t.withColumn("used", F.coalesce(F.sum(F.size("ws")).over(w), F.lit(0))).where(F.col("used") < budget).withColumn("part", F.slice("ws", F.lit(1), F.least(F.size("ws"), F.lit(budget) - F.col("used")).cast("int")))
 
@@ -113,7 +113,7 @@ def r16(spark, sf):
 
 @query("a1_citations", f"""WITH {_KW} SELECT item_id, '[' || "rank" || ']' AS citation_id, k5.doc_id, coalesce(source, 'General') AS section, substr(coalesce(d.text, ''), 1, 120) || '...' AS snippet FROM k5 JOIN documents d ON d.doc_id = k5.doc_id""")
 def a1(spark, sf):
-    t = _top(spark, sf).join(docs(spark, sf).select("doc_id", F.coalesce("source", F.lit("General")).alias("section"), T.snippet(F.coalesce("text", F.lit("")), 120).alias("snippet")), "doc_id")
+    t = _cited(spark, sf).join(docs(spark, sf).select("doc_id", F.coalesce("source", F.lit("General")).alias("section"), T.snippet(F.coalesce("text", F.lit("")), 120).alias("snippet")), "doc_id")
     return t.select("item_id", F.concat(F.lit("["), F.col("rank").cast("string"), F.lit("]")).alias("citation_id"), "doc_id", "section", "snippet")
 
 
@@ -129,14 +129,15 @@ SELECT aw.item_id, round(least(1.0, count(cw.w) / count(*) + 0.25), 4) AS faithf
 def a2(spark, sf):
     """Each item's text as the answer, its five best documents as the context."""
     big = lambda c: F.array_distinct(F.filter(T.words(F.lower(F.coalesce(c, F.lit("")))), lambda w: F.length(w) > 3))
-    ctx = _top(spark, sf).join(docs(spark, sf), "doc_id").select("item_id", F.explode(big(F.col("text"))).alias("w")).distinct().withColumn("hit", F.lit(1))
-    ans = _items(spark, sf).select("item_id", F.explode(big(F.col("text"))).alias("w"))
-    return ans.join(ctx, ["item_id", "w"], "left").groupBy("item_id").agg(F.round(F.least(F.lit(1.0), F.count("hit") / F.count("*") + 0.25), 4).alias("faithfulness"))
+    ans = _items(spark, sf).select("item_id", big(F.col("text")).alias("aw")).where(F.size("aw") > 0)
+    ctx = _cited(spark, sf).join(docs(spark, sf).select("doc_id", big(F.col("text")).alias("cw")), "doc_id").join(ans, "item_id")
+    hit = ctx.select("item_id", F.array_intersect("aw", "cw").alias("h")).groupBy("item_id").agg(F.size(F.array_distinct(F.flatten(F.collect_list("h")))).alias("hits"))
+    return ans.join(hit, "item_id", "left").select("item_id", F.round(F.least(F.lit(1.0), F.coalesce("hits", F.lit(0)) / F.size("aw") + 0.25), 4).alias("faithfulness"))
 
 
 @query("a3_answer", f"""WITH {_KW} SELECT k5.item_id, 'Based on ' || count(*) || ' passages (' || string_agg(DISTINCT source, ', ' ORDER BY source) || '): ' || max(CASE WHEN "rank" = 1 THEN substr(coalesce(d.text, ''), 1, 160) END) AS answer FROM k5 JOIN documents d ON d.doc_id = k5.doc_id GROUP BY k5.item_id""")
 def a3(spark, sf):
-    t = _top(spark, sf).join(docs(spark, sf).select("doc_id", "source", F.substring(F.coalesce("text", F.lit("")), 1, 160).alias("head")), "doc_id")
+    t = _cited(spark, sf).join(docs(spark, sf).select("doc_id", "source", F.substring(F.coalesce("text", F.lit("")), 1, 160).alias("head")), "doc_id")
     g = t.groupBy("item_id").agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_set("source")), ", ").alias("s"), F.max(F.when(F.col("rank") == 1, F.col("head"))).alias("h"))
     return g.select("item_id", F.concat(F.lit("Based on "), F.col("n").cast("string"), F.lit(" passages ("), "s", F.lit("): "), "h").alias("answer"))
 
@@ -148,7 +149,7 @@ cv AS (SELECT k5.item_id, k5."rank", k5.doc_id, d.lang, d.text, len(list_filter(
 
 def _covered(spark, sf):
     terms = _items(spark, sf).select("item_id", F.array_distinct(T.matches(F.lower(T.masked(F.col("text"))), "[a-z]{6,}")).alias("terms"))
-    t = _top(spark, sf).join(docs(spark, sf).select("doc_id", "lang", "text"), "doc_id").join(terms, "item_id")
+    t = _cited(spark, sf).join(docs(spark, sf).select("doc_id", "lang", "text"), "doc_id").join(terms, "item_id")
     low = F.lower(F.coalesce("text", F.lit("")))
     return t.withColumn("covers", F.size(F.filter("terms", lambda x: F.contains(low, x))) >= F.ceil(0.6 * F.size("terms")))
 

@@ -2,7 +2,9 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from groveline.operators import entities as E
 from groveline.operators import graph as G
 from groveline.operators import similarity as S
 from groveline.operators import text as T
@@ -125,3 +127,40 @@ def test_beam_keeps_the_best_in_each_task(spark):
         s = {j: round(float(v[i] @ v[j]), 6) for j in range(400) if j != i and label[j] in beam and label[j] is not None}
         want = sorted(s, key=lambda j: (-s[j], j))[:5]
         assert [r["node_id"] for r in sorted((r for r in rows if r["query_id"] == i), key=lambda r: r["rank"])] == want
+
+
+@pytest.mark.parametrize("cells", [1 << 21, 30])
+def test_keyword_top_shuffles_no_pairs(spark, monkeypatch, cells):
+    monkeypatch.setattr(E, "OVERLAP_CELLS", cells)
+    rnd = np.random.default_rng(9)
+    vocabulary = [*(f"word{i}" for i in range(12)), "Größe", "день", "of"]
+    say = lambda most: " ".join(rnd.choice(vocabulary, rnd.integers(0, most)))
+    items, docs = [(i, say(9)) for i in range(15)] + [(15, None)], [(i, say(14)) for i in range(400)] + [(400, None)]
+    q, d = spark.createDataFrame(items, "item_id long, text string"), spark.createDataFrame(docs, "doc_id long, text string")
+    words = lambda t: {w for w in (t or "").lower().split() if len(w) > 2}
+    shares = {(i, k): round(len(words(a) & words(b)) / len(words(a)), 6) for i, a in items for k, b in docs if words(a) & words(b)}
+    rows, moved = shuffled(spark, lambda: E.keyword_top(q, d, 4).collect())
+    got = {(r["item_id"], r["rank"]): (r["doc_id"], r["score"]) for r in rows}
+    mixed = {(r["item_id"], r["rank"]): r["doc_id"] for r in E.keyword_top(q, d, 4, F.col("doc_id") / 1000, 0.5).collect()}
+    for i, _ in items:
+        own = {k: s for (j, k), s in shares.items() if j == i}
+        best = sorted(own, key=lambda k: (-own[k], k))[:4]
+        assert [got[i, r + 1] for r in range(len(best))] == [(k, own[k]) for k in best]
+        best = sorted(own, key=lambda k: (-round(k / 1000 + 0.5 * own[k], 6), k))[:4]
+        assert [mixed[i, r + 1] for r in range(len(best))] == best
+    assert len(got) == len(mixed) and moved < 30_000  # all pairs are some thousands of rows
+
+
+def test_citations_leave_texts_where_they_are(spark):
+    from conftest import SF
+
+    from groveline.plans import registry
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as where texts are many
+    try:
+        moved = {n: shuffled(spark, lambda: registry.queries()[n](spark, SF).collect())[1] for n in ("a1_citations", "a2_faithfulness", "a3_answer", "e2_coverage", "e5_query_metrics")}  # noqa: B023
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    # the dealing of the scan, and an item's five texts where they meet its terms; not all texts, and no pairs
+    most = {"a1_citations": 600_000, "a2_faithfulness": 2_400_000, "a3_answer": 600_000, "e2_coverage": 1_700_000, "e5_query_metrics": 1_700_000}
+    assert all(moved[n] < most[n] for n in most), moved
